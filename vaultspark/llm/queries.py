@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, pii, toxicity, url_filter
+from . import bpe, html_text, pii, sharding, toxicity, url_filter, warc
 from .common import table
 
 
@@ -14,23 +15,42 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("row", "page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    whole = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, P.PATTERN), ranks)
+    return whole.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_warc": op2_warc,
     "op5_url_filter": op5_url_filter,
+    "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
+    "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
 
@@ -53,6 +73,14 @@ _BY_LENGTH = sorted(url_filter.SITE_RULES, key=lambda r: -len(r.name))
 _GLOB = "CASE " + " ".join(f"WHEN host <> '' AND regexp_matches('.' || host || path, '{_glob_regex(g)}') THEN '{g}'" for g in url_filter.BLOCK_GLOBS) + " END"
 
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+k AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND keeper <> page_id THEN keeper END AS refers_to
+FROM k""",
     "op5_url_filter": f"""
 WITH parts AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
 ruled AS (SELECT *, CASE {' '.join(f"WHEN {_fits(r)} THEN '{r.name}'" for r in _BY_LENGTH)} END AS rule, {_GLOB} AS held FROM parts)
