@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, pii, sharding, toxicity, url_filter, warc
+from . import bpe, decontam, html_text, pii, sharding, toxicity, url_filter, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("row", "page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h", "n_near")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -47,6 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
+    "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
@@ -72,7 +77,20 @@ def _glob_regex(glob: str) -> str:
 _BY_LENGTH = sorted(url_filter.SITE_RULES, key=lambda r: -len(r.name))
 _GLOB = "CASE " + " ".join(f"WHEN host <> '' AND regexp_matches('.' || host || path, '{_glob_regex(g)}') THEN '{g}'" for g in url_filter.BLOCK_GLOBS) + " END"
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT item_id, list_slice(w, s, s + 9) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len(win) AS k FROM bw),
+dw AS (SELECT doc_id, s, k, list_slice(w, s, s + k - 1) AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, lens WHERE len(w) >= k)),
+hit AS (SELECT dw.doc_id, s, k, item_id FROM dw JOIN bw ON dw.win = bw.win),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT doc_id, s, k FROM hit)) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op2_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
