@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, ngram_join, pii, sharding, toxicity, url_filter, warc
+from . import ann, bpe, decontam, html_text, ngram_join, pii, sharding, toxicity, url_filter, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("row", "page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h", "n_near")
 
@@ -55,6 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
+    "op3_ann": op3_ann,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
