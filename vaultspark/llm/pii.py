@@ -21,6 +21,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -353,8 +354,6 @@ def redact_text(text: str | None, field: Field) -> str | None:
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with the spans of `text` redacted; all other columns as they are."""
-    import pandas as pd
-
     field = field or default_field()
 
     @F.pandas_udf("string")

@@ -19,6 +19,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,8 +130,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, that the model does not reject."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def toxic(text: pd.Series) -> pd.Series:
         return pd.Series([model.severity(t)[1] >= threshold for t in text], dtype=bool)
