@@ -1,10 +1,13 @@
 """Byte-level BPE: global distinct-word encoding, and decoding through the token-byte table.
 
-Encoding: every text is cut into pre-tokens, the distinct ones of the whole corpus meet in one shuffle (combined in each task before it),
-each distinct word is encoded once, and the ids are joined back to every occurrence and put together in the order of positions. The dictionary
-word -> ids is a written table. If it has at most `max_dictionary` rows (counted), it is broadcast and joined where the text is read, so that
-occurrences never move; beyond that, pre-tokens are exploded with their positions, joined to the dictionary by a shuffle, and gathered
-again by document. Both ways give the same rows. Decoding joins the ids to the token-byte table, whose size the vocabulary fixes.
+Encoding: every text is cut into pre-tokens; the distinct ones of the whole corpus meet, with their counts, in one shuffle (summed up in each task before
+it); each is encoded once, and its ids are joined back to every occurrence and put together in the order of positions.
+
+`encode` broadcasts the dictionary word -> ids and joins it where the text is read, so that occurrences never move. Its size is bounded: it holds the
+words that occur at least c times, with the smallest c that leaves at most `max_dictionary` of them, whatever the corpus; rarer words, most
+of which occur once, are encoded where they stand. `encode_shuffled` is the join without any bound: pre-tokens are exploded with their positions,
+joined to the dictionary of all words by a shuffle, and gathered again by document. Both give the same rows; the second moves every occurrence
+twice. Decoding joins the ids to the token-byte table, whose size the vocabulary fixes.
 
 Defined results: a null text is empty: no ids, and empty bytes. Text is never cut short; a word of any length is merged with a heap. Repeated
 rows are each encoded. An empty table gives an empty result. Columns other than those named are not read.
@@ -14,13 +17,18 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
+from array import array
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialise
+from .common import map_columns, materialise, pieces
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -64,54 +72,97 @@ def _cutter(pattern: str):
     return regex.compile(pattern).findall
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
-    """(word, ids) for each distinct pre-token of the corpus; ids as little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(ranks)
+def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """(word, n) for each distinct pre-token of the corpus."""
 
     def cut():
-        find, seen = _cutter(pattern), set()
+        find, counts = _cutter(pattern), Counter()
 
         def apply(cols):
-            if len(seen) > 400_000:  # only saves repeats within a task
-                seen.clear()
-            fresh = set()
             for t in cols["text"]:
                 if t:
-                    fresh.update(find(t))
-            fresh -= seen
-            seen.update(fresh)
-            return {"word": list(fresh)}
+                    counts.update(find(t))
+            made = {"word": list(counts), "n": list(counts.values())} if len(counts) > 200_000 or cols["last"] else {"word": [], "n": []}
+            if made["word"]:
+                counts.clear()
+            return made
 
         return apply
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = cut()
+        for batch in batches:
+            for piece in pieces(batch):
+                yield _counted(apply({"text": piece["text"].to_pylist(), "last": False}))
+        yield _counted(apply({"text": [], "last": True}))
+
+    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counted(made: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(made["word"], pa.string()), pa.array(made["n"], pa.int64())], names=["word", "n"])
+
+
+def dictionary(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(word, ids) of distinct words; ids as little-endian unsigned 32-bit integers."""
+    held = words.sparkSession.sparkContext.broadcast(ranks)
+
     def encode():
         table = held.value
+        return lambda cols: {"word": cols["word"], "ids": [_packed(w, table) for w in cols["word"]]}
 
-        def apply(cols):
-            return {"word": cols["word"], "ids": [np.array(merge_word(w.encode(), table), "<u4").tobytes() for w in cols["word"]]}
+    return map_columns(words.select("word"), "word string, ids binary", encode)
 
-        return apply
 
-    words = map_columns(docs.select(F.col(text_col).cast("string").alias("text")), "word string", cut).distinct()
-    return materialise(spark, map_columns(words, "word string, ids binary", encode), "bpe-dictionary")
+def _packed(word: str, ranks: dict[bytes, int]) -> bytes:
+    return array("I", merge_word(word.encode(), ranks)).tobytes() if sys.byteorder == "little" else np.array(merge_word(word.encode(), ranks), "<u4").tobytes()
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words that occur at least c times, with the smallest c that leaves at most `most`. The counts' histogram, by powers of two beyond 64, is all that is collected."""
+    level = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.expr("shiftleft(1L, cast(floor(log2(n)) as int))"))
+    held, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
+        held += r["words"]
+        if held > most:
+            break
+        least = r["level"]
+    return counts.where(F.lit(False)) if least is None else counts.where(level >= least)
+
+
+class _Join(dict):
+    """The dictionary; a word that it lacks is encoded where it stands."""
+
+    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
+        super().__init__(known)
+        self.ranks, self.rest = ranks, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.rest.get(word)
+        if got is None:
+            if len(self.rest) > 50_000:
+                self.rest.clear()
+            got = self.rest[word] = _packed(word, self.ranks)
+        return got
 
 
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, max_dictionary: int = 1_500_000) -> DataFrame:
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, max_dictionary: int = 400_000) -> DataFrame:
     """One row per document: its ids, as little-endian unsigned 32-bit integers, and their number."""
     spark = docs.sparkSession
-    words = dictionary(docs, ranks, pattern)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if words.limit(max_dictionary + 1).count() > max_dictionary:
-        return _encode_shuffled(spark, slim, words, pattern)
-    got = words.toArrow()
-    held = spark.sparkContext.broadcast((got["word"].combine_chunks(), got["ids"].combine_chunks()))
+    slim = _slim(docs)
+    counts = materialise(spark, word_counts(slim.select("text"), pattern), "bpe-counts")
+    got = dictionary(frequent(counts, max_dictionary), ranks).toArrow()
+    held = spark.sparkContext.broadcast((dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)), ranks))
 
     def start():
-        find, ids = _cutter(pattern), dict(zip(*(column.to_pylist() for column in held.value), strict=True)).__getitem__
+        find, ids = _cutter(pattern), _Join(*held.value).__getitem__
 
         def apply(cols):
             out = [b"".join(map(ids, find(t))) if t else b"" for t in cols["text"]]
@@ -122,22 +173,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, max_dictionar
     return map_columns(slim, SCHEMA, start)
 
 
-def _encode_shuffled(spark: SparkSession, docs: DataFrame, words: DataFrame, pattern: str) -> DataFrame:
-    """For dictionaries of any size. The row number is fixed by the written table, so rows that repeat stay apart."""
+def encode_shuffled(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """The rows of encode, with every word in the dictionary and joined by a shuffle. A row's number is fixed by the written table, so rows that repeat stay apart."""
+    spark = docs.sparkSession
 
     def cut():
         find = _cutter(pattern)
         return lambda cols: {"row": cols["row"], "doc_id": cols["doc_id"], "words": [find(t) if t else [] for t in cols["text"]]}
 
-    rows = materialise(spark, map_columns(docs.withColumn("row", F.monotonically_increasing_id()), "row long, doc_id long, words array<string>", cut), "bpe-words")
+    rows = materialise(spark, map_columns(_slim(docs).withColumn("row", F.monotonically_increasing_id()), "row long, doc_id long, words array<string>", cut), "bpe-words")
     each = rows.select("row", F.posexplode("words").alias("pos", "word"))
-    joined = each.join(words, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    words = dictionary(each.select("word").distinct(), ranks)
+    parts = each.join(words, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts")).select("row", F.col("parts.ids").alias("parts"))
 
     def glue():
         return lambda cols: {"doc_id": cols["doc_id"], "n_tokens": [sum(map(len, p)) // 4 if p else 0 for p in cols["parts"]], "ids": [b"".join(p) if p else b"" for p in cols["parts"]]}
 
-    whole = rows.select("row", "doc_id").join(joined.select("row", F.col("parts.ids").alias("parts")), "row", "left")
-    return map_columns(whole.select("doc_id", "parts"), SCHEMA, glue)
+    return map_columns(rows.select("row", "doc_id").join(parts, "row", "left").select("doc_id", "parts"), SCHEMA, glue)
 
 
 def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:

@@ -55,6 +55,17 @@ def struct_of(schema: str) -> StructType:
     return _parse_datatype_string(schema)
 
 
+#: Bytes of an Arrow batch that are turned into Python objects at a time.
+PIECE_BYTES = 8 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some PIECE_BYTES, a row at least: long texts don't meet in memory by the thousand."""
+    rows = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """Applies a function of Arrow batches, given as lists of column values. start() runs once in each task and gives that function."""
     out = to_arrow_schema(struct_of(schema))
@@ -62,12 +73,27 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = start()
         for batch in batches:
-            if batch.num_rows:
-                made = apply(batch.to_pydict())
+            for piece in pieces(batch):
+                made = apply(piece.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+def change_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+    """Applies a function of Arrow batches that keeps all columns as they are named and typed."""
+    schema = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = start()
+        for batch in batches:
+            for piece in pieces(batch):
+                made = apply(piece)
+                if made.num_rows:
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made.columns, schema, strict=True)], schema=schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
