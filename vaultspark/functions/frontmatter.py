@@ -9,8 +9,9 @@ import pandas as pd
 import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-FIELDS = "id string, title string, type string, status string, tags array<string>, aliases array<string>, created string, updated string, frontmatter string, error string"
+FIELDS = ("id", "title", "type", "status", "tags", "aliases", "created", "updated", "frontmatter", "error")
 
 
 class _Loader(yaml.SafeLoader):
@@ -84,12 +85,15 @@ def read_yaml(text: str | None) -> dict:
     try:
         data = yaml.load(text, _Loader) if text and text.strip() else {}  # noqa: S506
     except yaml.YAMLError as e:
-        return dict.fromkeys(("id", "title", "type", "status", "tags", "aliases", "created", "updated", "frontmatter")) | {"error": str(e).replace("\n", " ")}
+        return dict.fromkeys(FIELDS) | {"error": str(e).replace("\n", " ")}
     data = data if isinstance(data, dict) else {}
     out = {k: as_text(data.get(k)) for k in ("id", "title", "type", "status", "created", "updated")}
     return out | {"tags": as_texts(data.get("tags")), "aliases": as_texts(data.get("aliases")), "frontmatter": json.dumps(data, ensure_ascii=False, default=_plain), "error": None}
 
 
-@F.pandas_udf(FIELDS)
+_TYPE = StructType([StructField(n, ArrayType(StringType()) if n in ("tags", "aliases") else StringType()) for n in FIELDS])
+
+
+@F.pandas_udf(_TYPE)
 def fields(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_yaml(t) for t in text], columns=[f.split()[0] for f in FIELDS.split(", ")])
+    return pd.DataFrame([read_yaml(t) for t in text], columns=list(FIELDS))

@@ -152,8 +152,8 @@ def snippet(body: str | None, needles: list[str], tokens: int = SNIPPET_TOKENS)
             if score > best:
                 best, start = score, at
             if count > tokens:
-                sentence = max((s for s in starts if s < io), default=None)
-                if sentence is not None:
+                sentence = max(s for s in starts if s <= io)
+                if sentence < io:
                     score = _window(spans, sentence, tokens)[0] + (120 if sentence == 0 else 100)
                     if score > best:
                         best, start = score, sentence
@@ -161,7 +161,7 @@ def snippet(body: str | None, needles: list[str], tokens: int = SNIPPET_TOKENS)
     marks: list[list[int]] = []
     for i, _, n in spans:
         a, b = i, i + n
-        if b <= start or a >= stop or a < start:
+        if a < start or a >= start + tokens:
             continue
         if marks and a <= marks[-1][1]:
             marks[-1][1] = max(marks[-1][1], min(b, stop))

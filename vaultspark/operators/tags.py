@@ -64,7 +64,8 @@ def _by_automaton(text: DataFrame, words: list[tuple[str, str]]) -> DataFrame:
         for f in frames:
             held = [sorted(n for tag in ({t for _, t in auto.iter(h)} if by_tag else ()) for n in by_tag[tag])[:MAX_VOCABULARY] for h in f["hay"]]
             keep = [bool(x) for x in held]
-            yield pd.DataFrame({"key": f["key"][keep], "tags": [[order[n][1] for n in x] for x in held if x]})
+            if any(keep):
+                yield pd.DataFrame({"key": f["key"][keep].tolist(), "tags": [[order[n][1] for n in x] for x in held if x]})
 
     return text.mapInPandas(find, StructType([text.schema["key"], StructField("tags", ArrayType(StringType()))]))
 
