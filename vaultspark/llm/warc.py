@@ -241,7 +241,8 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
         for batch in batches:
             for path, content, refers in zip(*(batch[c].to_pylist() for c in ("path", "content", "refers")), strict=True):
                 made = convert(path.rpartition("/")[2], gzip.decompress(content), {r["offset"]: (r["rid"], r["row"]) for r in refers or ()})
-                yield pa.RecordBatch.from_arrays([pa.array([made], type=pa.binary())], schema=out)
+                if made:  # Spark writes an empty file where there are no rows
+                    yield pa.RecordBatch.from_arrays([pa.array([made], type=pa.binary())], schema=out)
 
     _write(arcs.join(by_file, "path", "left").select("path", "content", "refers").mapInArrow(turn, "archive binary"), warc_path, "\r\n\r\n")
 
