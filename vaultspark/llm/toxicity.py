@@ -19,18 +19,23 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import change_rows, map_columns
 
 GRADES = 3
+PREFIXES = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+    """The features of a text: its words, and the beginnings (PREFIXES characters and "~") of those that go on, as insults are compounded and inflected."""
+    if not text:
+        return set()
+    words = set(_WORD.findall(text.lower()))
+    return words.union(*({f"{w[:k]}~" for w in words if len(w) > k} for k in PREFIXES))
 
 
 @dataclass(frozen=True)
@@ -130,8 +135,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, that the model does not reject."""
-    @F.pandas_udf("boolean")
-    def toxic(text: pd.Series) -> pd.Series:
-        return pd.Series([model.severity(t)[1] >= threshold for t in text], dtype=bool)
+    at = docs.columns.index("text")
 
-    return docs.where(~toxic(docs["text"].cast("string")))
+    def start():
+        return lambda rows: rows.filter(pa.array([model.severity(t)[1] < threshold for t in rows.column(at).to_pylist()], pa.bool_()))
+
+    return change_rows(docs, start)
