@@ -21,11 +21,11 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import change_rows, map_columns
 
 #: In the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -356,8 +356,9 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with the spans of `text` redacted; all other columns as they are."""
     field = field or default_field()
 
-    @F.pandas_udf("string")
-    def clean(text: pd.Series) -> pd.Series:
-        return pd.Series([redact_text(t, field) for t in text], dtype=object)
+    at = docs.columns.index("text")
 
-    return docs.withColumn("text", clean(docs["text"].cast("string")))
+    def start():
+        return lambda rows: rows.set_column(at, "text", pa.array([redact_text(t, field) for t in rows.column(at).to_pylist()], pa.string()))
+
+    return change_rows(docs, start)
