@@ -36,7 +36,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    whole = bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks)
+    whole = bpe.encode(docs, ranks, P.PATTERN, decoded=True)
     return whole.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

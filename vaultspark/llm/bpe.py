@@ -82,7 +82,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
             for t in cols["text"]:
                 if t:
                     counts.update(find(t))
-            made = {"word": list(counts), "n": list(counts.values())} if len(counts) > 200_000 or cols["last"] else {"word": [], "n": []}
+            made = {"word": list(counts), "n": list(counts.values())} if len(counts) > 60_000 or cols["last"] else {"word": [], "n": []}
             if made["word"]:
                 counts.clear()
             return made
@@ -137,10 +137,13 @@ class _Join(dict):
         super().__init__(known)
         self.ranks, self.rest = ranks, {}
 
+    def __reduce__(self):
+        return _Join, (dict(self), self.ranks)
+
     def __missing__(self, word: str) -> bytes:
         got = self.rest.get(word)
         if got is None:
-            if len(self.rest) > 50_000:
+            if len(self.rest) > 20_000:
                 self.rest.clear()
             got = self.rest[word] = _packed(word, self.ranks)
         return got
@@ -153,24 +156,26 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, max_dictionary: int = 400_000) -> DataFrame:
-    """One row per document: its ids, as little-endian unsigned 32-bit integers, and their number."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, max_dictionary: int = 150_000, decoded: bool = False) -> DataFrame:
+    """One row per document: its ids, as little-endian unsigned 32-bit integers, and their number; with `decoded` also what decode gives of them, in the same pass."""
     spark = docs.sparkSession
     slim = _slim(docs)
     counts = materialise(spark, word_counts(slim.select("text"), pattern), "bpe-counts")
     got = dictionary(frequent(counts, max_dictionary), ranks).toArrow()
-    held = spark.sparkContext.broadcast((dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)), ranks))
+    held = spark.sparkContext.broadcast(_Join(dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)), ranks))
+    table = spark.sparkContext.broadcast(token_bytes(ranks))
 
     def start():
-        find, ids = _cutter(pattern), _Join(*held.value).__getitem__
+        find, ids = _cutter(pattern), held.value.__getitem__
 
         def apply(cols):
             out = [b"".join(map(ids, find(t))) if t else b"" for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "n_tokens": [len(x) // 4 for x in out], "ids": out}
+            made = {"doc_id": cols["doc_id"], "n_tokens": [len(x) // 4 for x in out], "ids": out}
+            return made | {"decoded": _decoded(out, table.value)} if decoded else made
 
         return apply
 
-    return map_columns(slim, SCHEMA, start)
+    return map_columns(slim, SCHEMA + ", decoded binary" if decoded else SCHEMA, start)
 
 
 def encode_shuffled(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -200,12 +205,15 @@ def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
+def _decoded(ids: list[bytes], table: list[bytes]) -> list[bytes]:
+    return [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in ids]
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """The rows of encode with a further column `decoded`: the bytes that the ids stand for."""
     held = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     def start():
-        said = held.value.__getitem__
-        return lambda cols: cols | {"decoded": [b"".join(map(said, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in cols["ids"]]}
+        return lambda cols: cols | {"decoded": _decoded(cols["ids"], held.value)}
 
     return map_columns(encoded.select("doc_id", "n_tokens", "ids"), SCHEMA + ", decoded binary", start)

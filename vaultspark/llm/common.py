@@ -56,7 +56,7 @@ def struct_of(schema: str) -> StructType:
 
 
 #: Bytes of an Arrow batch that are turned into Python objects at a time.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

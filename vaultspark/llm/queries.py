@@ -48,7 +48,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    whole = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, P.PATTERN), ranks)
+    whole = bpe.encode(table(spark, sf_dir, "documents"), ranks, P.PATTERN, decoded=True)
     return whole.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
