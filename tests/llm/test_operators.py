@@ -174,7 +174,7 @@ def test_packing_agrees_with_plain_best_fit():
 
 def test_sharding(spark):
     rng = np.random.default_rng(5)
-    texts = [("x" * int(n)) + str(k) for k, n in enumerate(rng.integers(0, 9000, 400))] + ["hot" * 2000] * 60 + [None, "", None]
+    texts = [("x" * int(n)) + str(k) for k, n in enumerate(rng.integers(0, 9000, 400))] + ["hot" * 2000] * 30 + [None, "", None]
     got = sharding.assign(docs(spark, enumerate(texts)), shards=8, spread=4).collect()
     assert len(got) == len(texts)
     load, slots, where = Counter(), {}, {}
@@ -187,6 +187,12 @@ def test_sharding(spark):
     assert set(load) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(load.values()) - min(load.values()) < 0.02 * max(load.values())
     assert sharding.assign(docs(spark, [])).count() == 0
+    # a group above the fair share has a shard of its own, and the rest is dealt evenly
+    runs = sharding.pack_into([(900, 1), (10, 100)], 5)
+    used = Counter()
+    for size, first, after, shard in runs:
+        used[shard] += size * (after - first)
+    assert sorted(used.values()) == [250, 250, 250, 250, 900]
 
 
 # --- 7 ---
