@@ -8,8 +8,8 @@
 3. Candidates. Each short list, sorted by size, is chained where neighbours' sizes allow a link; chained classes form candidate components.
 4. Search. Within a component (cut in blocks of bounded size) DivideSkip runs: the short lists are merged through a heap, what occurs often enough
    there is looked up in the long lists by binary search, and classes that reach the overlap of their sizes are linked. Once the members
-   are known to hang together no further pair is looked at. In a component of several blocks, its least class is compared with all members
-   first; only those that don't link with it are then searched for in every block.
+   are known to hang together no further pair is looked at. A heavier component is first cut by size, into overlapping pairs of bands; where such a part still takes
+   several blocks, its least class is compared with all members first, and only those that don't link with it are then searched for in every block.
 5. Components of the links, spread to all members of the classes.
 
 Words are runs without white space, A-Z in lower case. Shingles are 64-bit hashes; classes are 128-bit digests of whole sorted sets.
@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import broadcast_if_small, map_columns, materialise, struct_of
+from .common import broadcast_if_small, map_columns, materialise, pieces, struct_of
 from .components import components
 
-SLOT_BITS = 21
-_PIECE_BITS = 15
+SLOT_BITS = 22
+_PIECE_BITS = 16
 
 # --- shingles ---
 
@@ -221,13 +221,18 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest), and from each task rows (piece, counts) of its part of the sketch."""
-    schema = "doc_id long, n_shingles long, digest binary, piece int, counts binary"
+    """Rows (doc_id, h, n_shingles, digest), h the text's hash, and from each task rows (piece, counts) of its part of the sketch, in counters that stop at 255."""
+    schema = "doc_id long, h long, n_shingles long, digest binary, piece int, counts binary"
     out = to_arrow_schema(struct_of(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, waiting = np.zeros(1 << SLOT_BITS, np.uint32), [], 0
-        for batch in batches:
+        counts, held, waiting = np.zeros(1 << SLOT_BITS, np.uint8), [], 0
+
+        def add() -> None:
+            slots, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[slots] = np.minimum(255, counts[slots] + n)
+
+        for batch in (p for b in batches for p in pieces(b)):
             n, d = [], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, k)
@@ -235,56 +240,61 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
                 d.append(digest(s))
                 held.append(_slots(s))
                 waiting += len(s)
-                if waiting > 2_000_000:
-                    counts += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS).astype(np.uint32)
-                    held, waiting = [], 0
+                if waiting > 500_000:
+                    add()
+                    held.clear()
+                    waiting = 0
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=out)
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS).astype(np.uint32)
+            add()
         width = 1 << _PIECE_BITS
         for p in range(1 << (SLOT_BITS - _PIECE_BITS)):
             piece = counts[p * width : (p + 1) * width]
             if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([p], pa.int32()), pa.array([piece.tobytes()], pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([None], pa.binary()), pa.array([p], pa.int32()), pa.array([piece.tobytes()], pa.binary())], schema=out)
 
     return docs.mapInArrow(run, schema)
 
 
 def _rarity(pieces: DataFrame) -> np.ndarray:
-    """By slot: 0 up to twice the mean count, then one more for each doubling. What reaches the driver is one counter a slot, whatever the input."""
+    """By slot a measure of its count, up to 255. What reaches the driver is one counter a slot, whatever the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, raw in zip(batch["piece"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                width = 4 if len(raw) == 4 << _PIECE_BITS else 8
-                got = np.frombuffer(raw, np.uint32 if width == 4 else np.uint64).astype(np.uint64)
+                got = np.frombuffer(raw, np.uint8 if len(raw) == 1 << _PIECE_BITS else np.uint32).astype(np.uint32)
                 sums[p] = sums[p] + got if p in sums else got
         for p, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["piece", "counts"])
 
-    total = np.zeros(1 << SLOT_BITS, np.uint64)
+    total = np.zeros(1 << SLOT_BITS, np.uint32)
     width = 1 << _PIECE_BITS
     # first within each task, then by piece: no task holds more than one counter a slot
     summed = pieces.mapInArrow(add, "piece int, counts binary").repartition("piece").mapInArrow(add, "piece int, counts binary")
     for row in summed.toLocalIterator():
-        total[row["piece"] * width : (row["piece"] + 1) * width] += np.frombuffer(row["counts"], np.uint64)
-    base = max(2, 2 * int(total.mean()))
-    return np.floor(np.log2(np.maximum(1, total // np.uint64(base)).astype(float)) + (total >= base)).astype(np.uint8)
+        total[row["piece"] * width : (row["piece"] + 1) * width] += np.frombuffer(row["counts"], np.uint32)
+    # a shingle of one text has what chance gives its slot, so among equals the emptier slot is the surer; steps of a quarter of chance's spread
+    mean = float(total.mean())
+    spread = max(1.0, mean**0.5)
+    out = np.empty(len(total), np.uint8)
+    for at in range(0, len(total), width):
+        out[at : at + width] = np.clip((total[at : at + width] - max(0.0, mean - 6 * spread)) / max(1.0, spread / 4), 0, 255)
+    return out
 
 
-def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int = 3_000_000, max_broadcast: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int = 1_500_000, max_broadcast: int = 300_000) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (doc_id, n_shingles, digest) of each document; links (a, b) between classes, enough of them to connect all that links connect."""
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     both = materialise(spark, _first_pass(slim, k), "ngram-sets")
-    rows = both.where("piece is null").select("doc_id", "n_shingles", "digest")
+    rows = both.where("piece is null").select("doc_id", "h", "n_shingles", "digest")
     rarity = spark.sparkContext.broadcast(_rarity(both.where("piece is not null").select("piece", "counts")))
 
     def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, done = rarity.value, set()
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             tokens, owners, sizes = [], [], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, k)
@@ -292,7 +302,7 @@ def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int =
                 first = len(s) - ceil_ratio(len(s), num, den) + 1
                 if not len(s) or d in done or len(s) * (den - num) * 2 < num + den and len(s) * den < num * (len(s) + 1):
                     continue  # seen in this task; or so small that only equal sets link
-                if len(done) < 300_000:
+                if len(done) < 100_000:
                     done.add(d)
                 kept = s[np.lexsort((s, classes[_slots(s)]))[:first]]
                 tokens.append(kept.view(np.int64))
@@ -305,52 +315,86 @@ def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int =
     order = Window.partitionBy("token").orderBy("size", "digest")
     chained = lists.select("digest", "size", F.lag("digest").over(order).alias("before"), F.lag("size").over(order).alias("size_before"))
     chained = chained.where((F.col("before") != F.col("digest")) & (F.col("size_before").cast("long") * den >= F.col("size").cast("long") * num))
-    pairs = materialise(spark, chained.select(F.least("before", "digest").alias("a"), F.greatest("before", "digest").alias("b")).distinct(), "ngram-candidates")
-    return rows, _search(slim, rows, pairs, k, num, den, block, max_broadcast)
+    pairs = materialise(spark, forest(chained.select(F.col("before").alias("a"), F.col("digest").alias("b"))), "ngram-candidates")
+    return rows.drop("h"), _search(slim, rows, pairs, k, num, den, block, max_broadcast)
 
 
-def _search(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, num: int, den: int, block: int, max_broadcast: int) -> DataFrame:
-    spark = docs.sparkSession
-    near = materialise(spark, components(pairs), "ngram-near")
-    first = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    who = materialise(spark, near.join(first, F.col("node") == F.col("digest")).select("doc_id", "digest", "label", "n"), "ngram-members")
-    weight = who.groupBy("label").agg(F.sum("n").alias("weight"))
-    big = weight.where(F.col("weight") > block)
-    ids, _ = broadcast_if_small(who.select("doc_id").distinct(), max_broadcast)
-    # a null doc_id is looked for by its text alone: such rows are read too
-    wanted = docs.where("doc_id is null").union(docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select("doc_id", "text"))
+def _sets_of(docs: DataFrame, who: DataFrame, k: int, max_broadcast: int) -> DataFrame:
+    """(digest, label, weight, shingles): each class of `who` with the set of a text of its. The classes' rows go to the texts, not the texts to them, if they are few."""
+    few, _ = broadcast_if_small(who.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "digest", "label", "weight"), max_broadcast)
 
     def start():
         def apply(cols):
             sets = [shingle_set(t, k) for t in cols["text"]]
-            return {"digest": [digest(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
+            same = [i for i, s in enumerate(sets) if digest(s) == cols["digest"][i]]
+            return {c: [cols[c][i] for i in same] for c in ("digest", "label", "weight")} | {"shingles": [sets[i].view(np.int64) for i in same]}
 
         return apply
 
-    sets = map_columns(wanted, "digest binary, shingles array<bigint>", start)
-    members = materialise(spark, sets.join(who.join(weight, "label").select(F.col("digest").alias("own"), "label", "weight"), F.col("digest") == F.col("own")).select("digest", "label", "weight", "shingles"), "ngram-block-sets")
-    small = members.where(F.col("weight") <= block).select(F.col("label").alias("key"), F.lit(0).alias("role"), "digest", "shingles")
-    found = _run_blocks(small, num, den)
-    if big.limit(1).count():
-        found = found.union(_large(members.where(F.col("weight") > block), num, den, block))
+    return map_columns(docs.join(few, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "digest", "label", "weight"), "digest binary, label binary, weight long, shingles array<bigint>", start)
+
+
+def _search(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, num: int, den: int, block: int, max_broadcast: int) -> DataFrame:
+    spark = docs.sparkSession
+    first = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.max("n_shingles").alias("n"))
+    who = materialise(spark, components(pairs).join(first, F.col("node") == F.col("digest")).select("one.doc_id", "one.h", "digest", "label", "n"), "ngram-members")
+    who = who.join(who.groupBy("label").agg(F.sum("n").alias("weight")), "label")
+    # what is too heavy for a block is cut by size: only sets of one band or of two neighbouring ones can link
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int")
+    heavy = who.where(F.col("weight") > block).withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).drop("weight")
+    groups = heavy.groupBy("label", "band").agg(F.min("digest").alias("least"), F.sum("n").alias("weight"), F.max(F.col("own") == F.col("band")).alias("any_own"), F.count("*").alias("members")).where("any_own and members > 1")
+    heavy = heavy.join(groups, ["label", "band"]).select("doc_id", "h", "digest", F.concat("least", F.col("label"), F.col("band").cast("string").cast("binary")).alias("label"), "n", "weight")
+    heavy = materialise(spark, heavy, "ngram-heavy")
+    ready = who.where(F.col("weight") <= block).select("doc_id", "h", "digest", "label", "weight").union(heavy.where(F.col("weight") <= block).select("doc_id", "h", "digest", "label", "weight"))
+    found = _run_blocks(_sets_of(docs, ready, k, max_broadcast).select(F.col("label").alias("key"), F.lit(0).alias("role"), "digest", "shingles"), num, den)
+    large = heavy.where(F.col("weight") > block)
+    if large.limit(1).count():
+        found = found.union(_large(_sets_of(docs, large, k, max_broadcast), num, den, block))
     return materialise(spark, found, "ngram-links")
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """Fewer links that connect the same: each task keeps a spanning forest of those it reads, some hundred thousand nodes at a time."""
+    out = to_arrow_schema(struct_of("a binary, b binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[bytes, int] = {}
+        union = _Union(0)
+        for batch in batches:
+            if len(index) > 200_000:
+                index, union = {}, _Union(0)
+            kept = []
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                ends = []
+                for x in (a, b):
+                    if x not in index:
+                        index[x] = len(index)
+                        union.up.append(len(union.up))
+                        union.size.append(1)
+                    ends.append(index[x])
+                if union.join(*ends):
+                    kept.append((a, b))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*kept, strict=True)], schema=out)
+
+    return links.mapInArrow(run, "a binary, b binary")
+
+
 def _large(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Components of more than one block: the least class against all, then those that don't link with it against every block."""
     spark = members.sparkSession
-    pivots = members.where("digest = label").dropDuplicates(["label"]).select("label", F.col("shingles").alias("pivot"))
+    pivots = members.where("digest = substring(label, 1, 16)").dropDuplicates(["label"]).select("label", F.col("shingles").alias("pivot"))
     pivots, _ = broadcast_if_small(pivots, 1000)
 
     def start():
         def apply(cols):
-            return {"digest": cols["digest"], "label": cols["label"], "weight": cols["weight"], "shingles": cols["shingles"], "core": [d == e or linked(np.array(s, np.int64), np.array(p, np.int64), num, den) for d, e, s, p in zip(cols["digest"], cols["label"], cols["shingles"], cols["pivot"], strict=True)]}
+            return {"digest": cols["digest"], "label": cols["label"], "weight": cols["weight"], "shingles": cols["shingles"], "core": [d == e[:16] or linked(np.array(s, np.int64), np.array(p, np.int64), num, den) for d, e, s, p in zip(cols["digest"], cols["label"], cols["shingles"], cols["pivot"], strict=True)]}
 
         return apply
 
     schema = "digest binary, label binary, weight long, shingles array<bigint>, core boolean"
     judged = materialise(spark, map_columns(members.join(pivots, "label").select("digest", "label", "weight", "shingles", "pivot"), schema, start), "ngram-judged")
-    star = judged.where("core and digest <> label").select(F.col("label").alias("a"), F.col("digest").alias("b"))
+    star = judged.where("core and digest <> substring(label, 1, 16)").select(F.expr("substring(label, 1, 16)").alias("a"), F.col("digest").alias("b"))
     rest = judged.where("not core").groupBy("label").agg(F.sum(F.size("shingles")).alias("rest"))
     n_all, n_rest = F.ceil(F.col("weight") / block).cast("int"), F.ceil(F.col("rest") / block).cast("int")
     cut = judged.join(F.broadcast(rest) if rest.limit(10_001).count() <= 10_000 else rest, "label").withColumn("of_all", F.pmod(F.xxhash64("digest"), n_all)).withColumn("of_rest", F.pmod(F.xxhash64("digest"), n_rest))
@@ -376,9 +420,8 @@ def _run_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
             found = block_links([sets[k] for k in use], [asks[k] for k in use], num, den)
             return pa.RecordBatch.from_arrays([pa.array([names[use[i]] for i, _ in found], pa.binary()), pa.array([names[use[j]] for _, j in found], pa.binary())], schema=out)
 
-        for batch in batches:
-            flat, offset = batch["shingles"].flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch["shingles"].offsets.to_numpy()
-            offset = offset - offset[0]
+        for batch in (p for b in batches for p in pieces(b)):
+            flat, offset = batch["shingles"].flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(batch["shingles"].value_lengths().to_numpy())])
             for k, (key, role, name) in enumerate(zip(batch["key"].to_pylist(), batch["role"].to_pylist(), batch["digest"].to_pylist(), strict=True)):
                 if key != at and names:
                     yield done()
