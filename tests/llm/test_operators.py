@@ -278,6 +278,25 @@ def test_ngram_edges(spark):
     assert ngram_join.heap_merge(lists, 2) == [(3, 3), (5, 2)]
 
 
+def test_keep_one_of_each_group_of_rows(spark):
+    a, b, c, d = (" ".join(f"{x}{n}" for n in range(40)) for x in "abcd")
+    near = a + " more"
+    rows = [
+        (3, a, 1), (7, near, 2), (7, near, 3),  # 3 stays
+        (5, b, 4), (5, near, 5), (5, b, 6),  # of the rows of b one, though 5 also stands on a copy of 3
+        (None, c, 7), (None, c + " more", 8), (None, c, 9),  # none has an id: one of them
+        (None, d, 10),  # resembles nothing
+        (None, None, 11), (None, " ", 12), (8, None, 13), (8, None, 14),  # without words: all
+        (None, a, 15),
+    ]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _row int"))
+    assert got.columns == ["doc_id", "text", "_row"]
+    kept = sorted(r["_row"] for r in got.collect())
+    assert [n for n in kept if n not in (4, 6, 7, 8, 9)] == [1, 10, 11, 12, 13, 14]
+    assert len({4, 6} & set(kept)) == 1 and len({7, 8, 9} & set(kept)) == 1
+    assert ngram_join.keep_one(spark.createDataFrame(rows[:0], "doc_id long, text string, _row int")).count() == 0
+
+
 # --- 9 ---
 
 

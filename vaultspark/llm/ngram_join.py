@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -221,8 +221,8 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, h, n_shingles, digest), h the text's hash, and from each task rows (piece, counts) of its part of the sketch, in counters that stop at 255."""
-    schema = "doc_id long, h long, n_shingles long, digest binary, piece int, counts binary"
+    """Rows (doc_id, h, row, n_shingles, digest), h the text's hash, and from each task rows (piece, counts) of its part of the sketch, in counters that stop at 255."""
+    schema = "doc_id long, h long, row long, n_shingles long, digest binary, piece int, counts binary"
     out = to_arrow_schema(struct_of(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +245,14 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
                     held.clear()
                     waiting = 0
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], batch["row"], pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=out)
         if held:
             add()
         width = 1 << _PIECE_BITS
         for p in range(1 << (SLOT_BITS - _PIECE_BITS)):
             piece = counts[p * width : (p + 1) * width]
             if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([None], pa.binary()), pa.array([p], pa.int32()), pa.array([piece.tobytes()], pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([None], pa.binary()), pa.array([p], pa.int32()), pa.array([piece.tobytes()], pa.binary())], schema=out)
 
     return docs.mapInArrow(run, schema)
 
@@ -284,12 +284,12 @@ def _rarity(pieces: DataFrame) -> np.ndarray:
     return out
 
 
-def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int = 1_500_000, max_broadcast: int = 300_000) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (doc_id, n_shingles, digest) of each document; links (a, b) between classes, enough of them to connect all that links connect."""
+def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int = 1_500_000, max_broadcast: int = 300_000, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): rows (doc_id, h, row, n_shingles, digest) of each document, row being its row_col if one is named; links (a, b) between classes, enough of them to connect all that links connect."""
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
     both = materialise(spark, _first_pass(slim, k), "ngram-sets")
-    rows = both.where("piece is null").select("doc_id", "h", "n_shingles", "digest")
+    rows = both.where("piece is null").select("doc_id", "h", "row", "n_shingles", "digest")
     rarity = spark.sparkContext.broadcast(_rarity(both.where("piece is not null").select("piece", "counts")))
 
     def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,7 @@ def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int =
     chained = lists.select("digest", "size", F.lag("digest").over(order).alias("before"), F.lag("size").over(order).alias("size_before"))
     chained = chained.where((F.col("before") != F.col("digest")) & (F.col("size_before").cast("long") * den >= F.col("size").cast("long") * num))
     pairs = materialise(spark, forest(chained.select(F.col("before").alias("a"), F.col("digest").alias("b"))), "ngram-candidates")
-    return rows.drop("h"), _search(slim, rows, pairs, k, num, den, block, max_broadcast)
+    return rows, _search(slim, rows, pairs, k, num, den, block, max_broadcast)
 
 
 def _sets_of(docs: DataFrame, who: DataFrame, k: int, max_broadcast: int) -> DataFrame:
@@ -436,19 +436,29 @@ def _run_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
 
 
+def _labels(rows: DataFrame, links: DataFrame, least: Column) -> DataFrame:
+    """(digest, least, label) of each class of texts with words: the least of its rows, and the least class that links reach."""
+    first = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(least).alias("least"))
+    return materialise(rows.sparkSession, first.join(components(links), F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("label", "digest").alias("label")), "ngram-labels")
+
+
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, **more) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
-    spark = docs.sparkSession
     rows, links = classes_and_links(docs, k, num, den, **more)
-    labels = components(links)
-    first = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
-    named = materialise(spark, first.join(labels, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("label", "digest").alias("label")), "ngram-labels")
+    named = _labels(rows, links, F.col("doc_id"))
     root = named.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = named.join(root, "label").select(F.col("digest").alias("own"), "component_id")
     return rows.join(classes, (F.col("digest") == F.col("own")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs, all columns as they are, whose doc_id names their component: one of each group of near copies."""
-    found = join(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("_keep"), "left_semi")
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **more) -> DataFrame:
+    """One row of each group of near copies, all columns as they are: that of the least doc_id (null after all others), then of the least hash of
+    its text, then of the least row number. A text without words resembles nothing, so its rows all stay. Row numbers are fixed in a written table."""
+    number = "_row"
+    while number.lower() in map(str.lower, docs.columns):
+        number += "_"
+    numbered = materialise(docs.sparkSession, docs.withColumn(number, F.monotonically_increasing_id()), "ngram-numbered")
+    rows, links = classes_and_links(numbered, k, num, den, row_col=number, **more)
+    named = _labels(rows, links, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row"))
+    stay = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.row").alias(number)).union(rows.where("n_shingles = 0").select("row"))
+    return numbered.join(stay, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
