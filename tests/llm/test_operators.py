@@ -34,6 +34,31 @@ def test_html_layout(spark):
     assert sorted((r["id"], r["text"], r["n_lines"]) for r in html_text.extract(rows).collect()) == [(1, "", 0), (2, "", 0), (3, "x", 1), (3, "x", 1)]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>@media print{nav{display:none}.ad,.menu{display:none}}</style><nav>n</nav><p class=ad>a<p class=menu>m", "n\n\na\n\nm"),
+        ("<style>@media only screen, print{.x{display:none}} @media screen and (max-width:9px){.y{display:none}}</style><b class=x>x</b><b class=y>y</b>", "y"),
+        ("<style media=print>b{display:none}</style><noscript><style>b{display:none}</style></noscript><b>x</b>", "x"),
+        ("<style>@import 'a{';@keyframes k{from{display:none}} @supports (a:b){b{display:none}} /*}*/ i{display:none}</style><b>x</b><i>y</i>", "x"),
+        ("<style>.x{display:none} .x{display:block}</style><p class=x>x", "x"),
+        ("<style>.x{display:none!important} #i{display:block}</style><p class=x id=i>x<p>y", "y"),
+        ("<style>.x{display:block} p{display:none} .x.y{visibility:hidden}</style><p class=x>x<p>y<p class='x y'>z", "x"),
+        ("<style>b:is(.a,.x,.c){display:none}</style><i class=x>x</i>", "x"),
+        ("<style>@layer u{.x{display:none}} @layer u{.x{display:none}}b{display:block}.x{display:inline}</style><b class=x>x</b>", "x"),
+        ("<style>div{visibility:hidden} b{visibility:visible}</style><div>a<b>x</b></div>", "x"),
+        ("a<xmp> <b>&amp;\n  c</xmp>", "a\n\n <b>&amp;\n  c"),
+        ("a<svg><title>t</title><defs><text>d</text></defs><path d=x /><text>x <tspan>y</tspan></text><text display=none>n</text> z <foreignObject><p>p</foreignObject></svg>b", "a x y\n\np\n\nb"),
+        ("<svg><style/><g><script href=q /><p>out", "out"),
+        ("so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "so x=1"),
+        ("<p data=it's>hello</p><p>that's all</p>", "hello\n\nthat's all"),
+        ("<p it's a=\"x>y\" b = '>' c=d\"e>hello</p><p title=\"z\">\"q\"", 'hello\n\n"q"'),
+    ],
+)
+def test_html_conditional_rules_and_lost_text(page, text):
+    assert html_text.render(page) == text
+
+
 # --- 2 ---
 
 

@@ -2,7 +2,9 @@
 
 Builder: void elements, raw-text elements, and implied end tags (a new li ends the open li, a block ends an open p, and so on). Visibility:
 elements that browsers never show, the `hidden` attribute, inline styles, `details` and `dialog` that are not open, and style
-sheets' rules of one tag, .class or #id that set display:none or visibility:hidden (which a descendant's inline style can lift). Layout: white
+sheets' rules of one tag, .classes and #ids (no combinators) on display and visibility, by importance, layer, specificity and order, as far as they hold on any
+screen: at-rules and sheets under a further condition, for other media or without scripts are left out. Of svg the text elements and foreignObject are shown, not what
+is drawn by reference only; of math all but annotations. Layout: white
 space collapses except in pre; paragraphs, headings, lists, tables and such are set off by a blank line; list items carry "- " or their number
 and are indented by depth; a table's cells are padded to the width of their column and joined by " | ".
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +30,17 @@ MAX_TABLES = 20
 # Element names of the public HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes datalist object audio video canvas svg math param source track area base".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes datalist object audio video canvas param source track area base".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption hr".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption hr xmp foreignobject".split()
 )
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre table figure fieldset hr".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre xmp table figure fieldset hr".split())
 #: A start tag of these ends an open p.
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt xmp".split())
+#: Within svg and math: never shown; where HTML starts again; start tags that end all of it.
+UNSEEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+HTML_WITHIN = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: tag: (the open elements that its start ends, where the search for them stops)
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir", "table")),
@@ -50,32 +57,50 @@ IMPLIED = {
     "body": (("head",), ()),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SELECTOR = re.compile(r"[.#]?[A-Za-z_][\w-]*")
+# a quote delimits a value only where it directly follows "="
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?+)*+)>|[^<]+|<", re.S)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|(\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|url\(\s*[^\"'\s)][^)]*\)?)|(\\.|[^{};\"'/\\u<-]+)|.", re.S | re.I)
+_SELECTOR = re.compile(r"([A-Za-z_][\w-]*)?((?:[.#][A-Za-z_-][\w-]*)*)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _FLAT = re.compile(r"[^\t\n\r\f]*+").fullmatch
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    """foreign: of svg or math. draws: text directly within is shown."""
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    __slots__ = ("tag", "attrs", "kids", "foreign", "draws")
 
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: bool = False, draws: bool = True):
+        self.tag, self.attrs, self.kids, self.foreign, self.draws = tag, attrs, [], foreign, draws
 
-def parse(source: str) -> tuple[Node, dict[str, tuple[bool, bool]]]:
-    """The tree, and of the style sheets: selector -> (not displayed, hidden)."""
+
+@dataclass(frozen=True)
+class Rule:
+    """What a selector says of display and visibility: property -> (rank, value), the greater rank before the lesser."""
+
+    tag: str | None
+    marks: frozenset[str]
+    said: dict[str, tuple[tuple, str]]
+
+
+def parse(source: str) -> tuple[Node, dict[str, list[Rule]]]:
+    """The tree, and the style sheets' rules by one .class, #id or tag of each."""
     root = Node("#root", {})
     stack, sheet = [root], []
     pos, n = 0, len(source)
     while pos < n:
         m = _TOKEN.match(source, pos)
+        if stack[-1].foreign and source.startswith("<![CDATA[", pos):
+            end = source.find("]]>", pos)
+            if stack[-1].draws:
+                stack[-1].kids.append(source[pos + 9 : end if end >= 0 else n])
+            pos = end + 3 if end >= 0 else n
+            continue
         pos = m.end()
         name = m[2]
         if name is None:
-            if m[0][0] != "<" or m[0] == "<":
+            if (m[0][0] != "<" or m[0] == "<") and stack[-1].draws:
                 stack[-1].kids.append(html.unescape(m[0]) if "&" in m[0] else m[0])
             continue
         name = name.lower()
@@ -83,21 +108,32 @@ def parse(source: str) -> tuple[Node, dict[str, tuple[bool, bool]]]:
             _close(stack, name, root)
             continue
         attrs = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTR.findall(m[3])} if m[3] else {}
+        if name in BREAKOUT:
+            while stack[-1].foreign and stack[-1].tag not in HTML_WITHIN:
+                stack.pop()
         if name in ENDS_P:
             _end(stack, ("p",), ("td", "th", "li", "table", "button", "caption"))
         if name in IMPLIED:
             _end(stack, *IMPLIED[name])
-        node = Node(name, attrs)
-        stack[-1].kids.append(node)
-        if name in RAW:
+        up = stack[-1]
+        foreign = name in ("svg", "math") or up.foreign and up.tag not in HTML_WITHIN
+        node = Node(name, attrs, foreign, name != "svg" and (up.draws or foreign and name in ("text", "foreignobject", "math")))
+        up.kids.append(node)
+        if foreign and m[3].endswith("/") and [a.end() for a in _ATTR.finditer(m[3])][-1:] != [len(m[3])]:
+            continue
+        if name in RAW and (not foreign or name in ("script", "style", "title")):
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, pos)
             inner = source[pos : end.start() if end else n]
             pos = end.end() if end else n
             if name == "style":
-                sheet.append(inner)
+                kind = attrs.get("type", "").strip().lower()
+                if kind in ("", "text/css") and _on_screen(attrs.get("media", "")) and not any(k.tag in ("noscript", "template") for k in stack):
+                    sheet.append(inner.replace("<![CDATA[", "").replace("]]>", "") if foreign else inner)
             elif name == "textarea":
                 node.kids.append(html.unescape(inner))
-        elif name not in VOID:
+            elif name == "xmp":
+                node.kids.append(inner)
+        elif foreign or name not in VOID:
             stack.append(node)
     return root, _rules(sheet)
 
@@ -123,44 +159,117 @@ def _close(stack: list[Node], name: str, root: Node) -> None:
             return  # an inline end tag does not reach out of a cell
 
 
-def _rules(sheets: list[str]) -> dict[str, tuple[bool, bool]]:
-    out: dict[str, tuple[bool, bool]] = {}
+def _on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on every screen."""
+    return not media.strip() or any(" ".join(q.lower().split()) in ("all", "screen", "only all", "only screen") for q in media.split(","))
+
+
+_UNLAYERED, _INLINE = 1 << 30, 1 << 31
+
+
+def _rules(sheets: list[str]) -> dict[str, list[Rule]]:
+    out: dict[str, list[Rule]] = {}
+    layers: dict[str, int] = {}
+    order = 0
+
+    def note(selectors: str, body: str, layer: int) -> None:
+        nonlocal order
+        order += 1
+        said = _style(body)
+        if not said:
+            return
+        before = None
+        while before != selectors:  # commas within brackets part no selectors
+            before, selectors = selectors, re.sub(r"\([^()]*\)|\[[^\[\]]*\]", "\0", selectors)
+        for s in selectors.split(","):
+            m = _SELECTOR.fullmatch(s.strip())
+            if m and m[0]:
+                marks = re.findall(r"[.#][^.#]+", m[2])
+                ids = sum(k[0] == "#" for k in marks)
+                spec = (ids, len(marks) - ids, bool(m[1]))
+                ranked = {p: ((strong, -layer if strong else layer, spec, order, at), v) for p, (strong, at, v) in said.items()}
+                tag = m[1] and m[1].lower()
+                out.setdefault(marks[0] if marks else tag, []).append(Rule(tag, frozenset(marks), ranked))
+
     for css in sheets:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-            none, hidden = _style(body)
-            if none or hidden:
-                for s in selectors.split(","):
-                    if _SELECTOR.fullmatch(s.strip()):
-                        had = out.get(s.strip(), (False, False))
-                        out[s.strip()] = (had[0] or none, had[1] or bool(hidden))
+        # what is open: (selectors or None, whether it holds, layer)
+        stack: list[tuple[str | None, bool, int, str]] = [(None, True, _UNLAYERED, "")]
+        held: list[str] = []
+        for m in _CSS.finditer(css):
+            part = m[0]
+            if part not in ("{", "}", ";"):
+                if not part.startswith(("/*", "<!--", "-->")):
+                    held.append('""' if m[1] else part)
+                elif part.startswith("/*"):
+                    held.append(" ")
+                continue
+            text, held = "".join(held).strip(), []
+            selectors, holds, layer, path = stack[-1]
+            if part == "{":
+                if text.startswith("@"):
+                    at, _, rest = text[1:].partition(" ") if re.match(r"@[\w-]+\s", text) else (re.match(r"@([\w-]*)", text)[1], "", re.sub(r"^@[\w-]*", "", text))
+                    at = at.strip().lower()
+                    if at == "layer":
+                        path = f"{path}.{rest.strip() or len(layers)}"
+                        layer = layers.setdefault(path, len(layers))
+                    stack.append((selectors, holds and (at == "layer" or at == "media" and _on_screen(rest)), layer, path))
+                else:
+                    stack.append((text, holds and selectors is None, layer, path))
+                continue
+            if selectors is not None and holds and text:
+                note(selectors, text, layer)
+            elif part == ";" and selectors is None and text.lower().startswith("@layer"):
+                for one in text[6:].split(","):
+                    layers.setdefault(f"{path}.{one.strip()}", len(layers))
+            if part == "}" and len(stack) > 1:
+                stack.pop()
+        if stack[-1][0] is not None and stack[-1][1] and held:
+            note(stack[-1][0], "".join(held), stack[-1][2])
     return out
 
 
-def _style(body: str) -> tuple[bool, bool | None]:
-    """(not displayed, hidden or shown; None where it says neither)"""
-    said = {k.strip().lower(): v.strip().lower().removesuffix("!important").strip() for k, _, v in (p.partition(":") for p in body.split(";"))}
-    seen = said.get("visibility")
-    return said.get("display") == "none", seen in ("hidden", "collapse") if seen in ("hidden", "collapse", "visible") else None
+def _style(body: str) -> dict[str, tuple[bool, int, str]]:
+    """Of display and visibility: property -> (important, place, value), as far as something is said."""
+    out: dict[str, tuple[bool, int, str]] = {}
+    for at, part in enumerate(body.split(";")):
+        k, _, v = part.partition(":")
+        k, v = k.strip().lower(), v.strip().lower()
+        strong = re.search(r"!\s*important$", v)
+        v = v[: strong.start()].strip() if strong else v
+        if k == "display" and v or k == "visibility" and v in ("visible", "hidden", "collapse", "inherit", "initial", "unset", "revert", "revert-layer"):
+            out[k] = max(out.get(k, (False, -1, "")), (bool(strong), at, v))
+    return out
 
 
-def _visible(node: Node, hidden: bool, css: dict[str, tuple[bool, bool]], parent: Node) -> tuple[bool, bool]:
+def _visible(node: Node, hidden: bool, css: dict[str, list[Rule]], parent: Node) -> tuple[bool, bool]:
     """(displayed, hidden) of an element under one that is hidden or not."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or node.tag == "input" or node.tag == "dialog" and "open" not in a:
+    if node.tag in UNSEEN or "hidden" in a or node.tag == "input" or node.tag == "dialog" and "open" not in a or node.foreign and node.tag in UNSEEN_FOREIGN:
         return False, hidden
     if parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary":
         return False, hidden
+    best: dict[str, tuple[tuple, str]] = {}
+    if node.foreign and ("display" in a or "visibility" in a):
+        best = {p: ((False, -1), v) for p, (_, _, v) in _style(f"display:{a.get('display', '')};visibility:{a.get('visibility', '')}").items()}
     if css:
-        for s in [node.tag, *("." + c for c in a.get("class", "").split()), "#" + a.get("id", "")]:
-            if s in css:
-                none, hide = css[s]
-                if none:
-                    return False, hidden
-                hidden = hidden or hide
+        marks = {"." + c for c in a.get("class", "").split()}
+        if "id" in a:
+            marks.add("#" + a["id"])
+        for s in (node.tag, *marks):
+            for rule in css.get(s, ()):
+                if (rule.tag is None or rule.tag == node.tag) and rule.marks <= marks:
+                    for p, said in rule.said.items():
+                        if p not in best or said[0] > best[p][0]:
+                            best[p] = said
     if "style" in a:
-        none, hide = _style(a["style"])
-        return not none, hidden if hide is None else hide
-    return True, hidden
+        for p, (strong, at, v) in _style(a["style"]).items():
+            if p not in best or (strong, _INLINE) > best[p][0][:2]:
+                best[p] = ((strong, _INLINE, at), v)
+    if not best:
+        return True, hidden
+    seen = best["visibility"][1] if "visibility" in best else "inherit"
+    hidden = seen in ("hidden", "collapse") or hidden and seen not in ("visible", "initial")
+    return "display" not in best or best["display"][1] != "none", hidden
 
 
 class _Page:
@@ -208,7 +317,7 @@ def width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def _layout(top: Node, css: dict[str, tuple[bool, bool]], hidden: bool, depth: int) -> str:
+def _layout(top: Node, css: dict[str, list[Rule]], hidden: bool, depth: int) -> str:
     page = _Page()
     # (node, parent, hidden, pre, list counter) to enter, or a function to call on leaving
     todo: list = [(k, top, hidden, False, None) for k in reversed(top.kids)]
@@ -297,11 +406,15 @@ def _layout(top: Node, css: dict[str, tuple[bool, bool]], hidden: bool, depth: i
 
         if gap or lead:
             todo.append(leave)
-        todo += [(k, node, hidden, pre or tag in ("pre", "textarea"), inner) for k in reversed(node.kids)]
+        elif node.foreign and tag in ("text", "math") and not hidden:
+            # set off by a space, as what is placed apart
+            page.space = bool(page.line) and not page.breaks
+            todo.append(lambda: setattr(page, "space", bool(page.line) and not page.breaks))
+        todo += [(k, node, hidden, pre or tag in ("pre", "textarea", "xmp"), inner) for k in reversed(node.kids)]
     return page.text()
 
 
-def _table(table: Node, css: dict[str, tuple[bool, bool]], hidden: bool, depth: int) -> list[str]:
+def _table(table: Node, css: dict[str, list[Rule]], hidden: bool, depth: int) -> list[str]:
     """The table's lines."""
     grid: list[list[tuple[list[str], int]]] = []
     titles: list[str] = []
@@ -357,7 +470,7 @@ def _table(table: Node, css: dict[str, tuple[bool, bool]], hidden: bool, depth:
     return out
 
 
-def _layout_one(node: Node, css: dict[str, tuple[bool, bool]], hidden: bool, depth: int) -> str:
+def _layout_one(node: Node, css: dict[str, list[Rule]], hidden: bool, depth: int) -> str:
     top = Node("#part", {})
     top.kids.append(node)
     return _layout(top, css, hidden, depth)
