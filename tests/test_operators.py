@@ -81,6 +81,21 @@ def test_bfs_cut(spark):
     assert {r["id"] for r in nodes.collect()} == {"hub", *"abcd"} and {(r["src"], r["dst"]) for r in links.collect()} >= {("a", "b"), ("b", "c")}
 
 
+def test_reach_has_no_cap(spark, monkeypatch):
+    from vaultspark.plans import queries
+
+    rows = [("doc_1", "r.md", "R", "active", [], ["n0", "doc_1"]), *[(f"n{k}", f"n{k}.md", f"t{k}", "active", [], ["doc_1"] if k % 2 else [f"n{k + 1}"]) for k in range(240)]]
+    notes = vault(spark, rows)
+    edges = resolve.edges(notes).cache()
+    both, out = {"doc_1": 0, "n0": 1}, {"doc_1": 0, "n0": 1, "n1": 2}
+    both |= {f"n{k}": 1 if k % 2 else 2 for k in range(1, 240)}
+    monkeypatch.setattr(queries, "_edges", lambda s, d: (notes, edges))
+    monkeypatch.setattr(graph, "bfs", None)  # the capped search of interactive calls
+    for way, want in (("both", both), ("out", out)):
+        got = queries._bfs(spark, "", way)
+        assert got.dtypes == [("id", "string"), ("depth", "int")] and sorted(map(tuple, got.collect())) == sorted(want.items())
+
+
 QUERIES = ["alpha", "alpha beta", "alpha OR gamma", "beta NOT alpha gamma", '"lpha be"', "a b needle", "needle AND no", "al*", "what is this?", "title:alpha", "-body:alpha", "{title body}:beta", "NEAR(alpha gamma, 20)", "(alpha OR beta) needle", "^alpha", '"say ""hi"""', "alpha AND (beta"]
 
 

@@ -251,7 +251,7 @@ SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY id"""
 
 def _bfs(spark, d, way):
     # no cut: as many nodes as there are, and backlinks without their limit
-    return graph.bfs(*_edges(spark, d), "doc_1", depth=2, direction=way, max_nodes=1_000_000, back_limit=1_000_000)[0].select("id", "depth")
+    return graph.reach(*_edges(spark, d), "doc_1", depth=2, direction=way)
 
 
 @query(_bfs_sql("out"))
