@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from vaultspark.llm import ann, bpe, decontam, html_text, ngram_join, pii, sharding, toxicity, url_filter, warc
+from vaultspark.llm.components import components
 
 DOCS = "doc_id long, text string, size int, h string"  # the last two clash with names inside operators
 
@@ -303,6 +304,13 @@ def test_ngram_edges(spark):
     assert ngram_join.heap_merge(lists, 2) == [(3, 3), (5, 2)]
 
 
+def test_components_settle(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(12)], "a long, b long")
+    assert {(r["node"], r["label"]) for r in components(chain).collect()} == {(k, 0) for k in range(13)}
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=1)
+
+
 def test_keep_one_of_each_group_of_rows(spark):
     a, b, c, d = (" ".join(f"{x}{n}" for n in range(40)) for x in "abcd")
     near = a + " more"

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, scratch
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int | None = None) -> DataFrame:
     """(node, label) for every node of a link; label is the least node that links reach. Each round is a written table in the shared folder.
 
     Minima are summed up in each task before a shuffle, and joins on a hub are left to adaptive execution to split. Links to itself and
-    null ends are left out; repeated links do no harm; no links give no rows.
+    null ends are left out; repeated links do no harm; no links give no rows. Rounds go on until nothing changes; if most_rounds is given and that takes
+    more, it is an error.
     """
     spark = links.sparkSession
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     kept, before = [], None
-    for _ in range(most_rounds):
+    for n in itertools.count():
+        if n == most_rounds:
+            raise RuntimeError(f"links are not settled after {n} rounds")
         # large star: every greater neighbour of u hangs on the least one
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
