@@ -114,6 +114,21 @@ def test_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_that_tie_go_by_id(spark):
+    rng = np.random.default_rng(12)
+    v = rng.choice([-0.3, 0.3], size=(700, 12)).astype(np.float32)
+    ids = rng.permutation(700)
+    got = {}
+    for r in ann.search(spark.createDataFrame([(int(k), x.tolist()) for k, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>"), every=35, leaf_rows=100, trees=3, probe_share=9.0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    x = v.astype(np.float64)[np.argsort(ids)]
+    for q in range(0, 700, 35):
+        s = np.zeros(700)
+        for c in range(12):
+            s += x[:, c] * x[q, c]
+        assert [got[q][n] for n in range(1, 21)] == [i for i in np.lexsort((np.arange(700), -s)).tolist() if i != q][:20]
+
+
 # --- 4 ---
 
 
