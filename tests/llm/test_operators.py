@@ -260,6 +260,13 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(frame, none).where("toxic or severity > 0").count() == 0 and toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_counts_a_repeated_id_once(spark):
+    rows = [(k, f"wort gut{k % 9} " + ("vile grim" if k % 4 == 0 else "klar fein")) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    want = toxicity.fit(docs(spark, rows), labels)
+    assert want.weights and toxicity.fit(docs(spark, rows + [rows[1]] * 300 + [(0, None)]), labels) == want
+
+
 # --- 8 ---
 
 

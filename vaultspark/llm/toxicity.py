@@ -4,7 +4,7 @@ Grades 0 to 2: a labelled document that isn't toxic has grade 0; a toxic one has
 the median toxic document, else grade 1 (the labels have no finer scale). P(grade <= k) = sigmoid(theta_k - w.x): the thresholds
 theta are ordered and share the weights w. x says which of the kept words a whole text holds. The expected severity is sum_k P(grade > k).
 
-Only the fit uses a sample: at most `max_train` labelled documents, those with the smallest hash of doc_id; that bound, and the bound
+Only the fit uses a sample: at most `max_train` labelled documents, those with the smallest hash of doc_id, and of each the one text of the smallest hash; that bound, and the bound
 `max_words` on kept words, bound what reaches the driver. Scoring reads every word of every text, without a shuffle.
 
 Defined results: a null or empty text has no words, so the severity of the thresholds alone; null labels and labels without a document take
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import change_rows, map_columns
+from .common import change_rows, map_columns, materialise
 
 GRADES = 3
 PREFIXES = (4, 5)
@@ -89,6 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_words:
     sample = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # broadcast: max_train rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
+    # a doc_id that repeats counts once, summed up in each task first; a null text only where there is no other
+    one = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("h"), "text")).alias("one"))
+    texts = one.select("doc_id", "toxic", "one.text")
 
     def start():
         def apply(cols):
@@ -96,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_words:
 
         return apply
 
-    seen = map_columns(texts, "doc_id long, toxic int, words array<string>", start)
+    seen = materialise(docs.sparkSession, map_columns(texts, "doc_id long, toxic int, words array<string>", start), "toxicity-sample")
     totals = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
