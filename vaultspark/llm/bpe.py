@@ -1,34 +1,33 @@
 """Byte-level BPE: global distinct-word encoding, and decoding through the token-byte table.
 
-Encoding: every text is cut into pre-tokens; the distinct ones of the whole corpus meet, with their counts, in one shuffle (summed up in each task before
-it); each is encoded once, and its ids are joined back to every occurrence and put together in the order of positions.
+1. Cut. Every text is cut into pre-tokens. A task gathers texts to chunks of bounded size; in a chunk each distinct pre-token has a number, and a text becomes the
+   numbers of its pre-tokens in the order of their positions. So a pre-token is exploded once a chunk, not once an occurrence.
+2. Encode. The chunks' pre-tokens meet in one global shuffle by word, where each distinct word is encoded once; its ids go to all chunks that hold it.
+3. Reassemble. The ids of a chunk's words and the numbers of its texts meet by chunk, and every text is put together by position.
 
-`encode` broadcasts the dictionary word -> ids and joins it where the text is read, so that occurrences never move. Its size is bounded: it holds the
-words that occur at least c times, with the smallest c that leaves at most `max_dictionary` of them, whatever the corpus; rarer words, most
-of which occur once, are encoded where they stand. `encode_shuffled` is the join without any bound: pre-tokens are exploded with their positions,
-joined to the dictionary of all words by a shuffle, and gathered again by document. Both give the same rows; the second moves every occurrence
-twice. Decoding joins the ids to the token-byte table, whose size the vocabulary fixes.
+A word has a row for each chunk that holds it, however often it occurs, so that a frequent word's partition grows with the number of chunks, not of occurrences;
+its rows stream through and may spill. No dictionary passes through the driver. The cut is a written table, which fixes the numbers. Decoding joins the ids to the
+token-byte table, whose size the vocabulary fixes.
 
-Defined results: a null text is empty: no ids, and empty bytes. Text is never cut short; a word of any length is merged with a heap. Repeated
-rows are each encoded. An empty table gives an empty result. Columns other than those named are not read.
+Defined results: a null text is empty: no ids, and empty bytes. Text is never cut short; a word of any length is merged with a heap, and a text longer than a
+chunk is a chunk of its own. Repeated rows are each encoded. An empty table gives an empty result. Columns other than those named are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import sys
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_columns, materialise, pieces
+from .common import map_columns, materialise, pieces, struct_of
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,132 +68,152 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _cutter(pattern: str):
     import regex
 
-    return regex.compile(pattern).findall
+    return regex.compile(pattern)
 
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n) for each distinct pre-token of the corpus."""
+class _Numbers(dict):
+    """The number of each distinct word, in the order in which they first come."""
 
-    def cut():
-        find, counts = _cutter(pattern), Counter()
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
-        def apply(cols):
-            for t in cols["text"]:
-                if t:
-                    counts.update(find(t))
-            made = {"word": list(counts), "n": list(counts.values())} if len(counts) > 60_000 or cols["last"] else {"word": [], "n": []}
-            if made["word"]:
-                counts.clear()
-            return made
-
-        return apply
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = cut()
-        for batch in batches:
-            for piece in pieces(batch):
-                yield _counted(apply({"text": piece["text"].to_pylist(), "last": False}))
-        yield _counted(apply({"text": [], "last": True}))
-
-    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _counted(made: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(made["word"], pa.string()), pa.array(made["n"], pa.int64())], names=["word", "n"])
-
-
-def dictionary(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, ids) of distinct words; ids as little-endian unsigned 32-bit integers."""
-    held = words.sparkSession.sparkContext.broadcast(ranks)
-
-    def encode():
-        table = held.value
-        return lambda cols: {"word": cols["word"], "ids": [_packed(w, table) for w in cols["word"]]}
-
-    return map_columns(words.select("word"), "word string, ids binary", encode)
-
-
-def _packed(word: str, ranks: dict[bytes, int]) -> bytes:
-    return array("I", merge_word(word.encode(), ranks)).tobytes() if sys.byteorder == "little" else np.array(merge_word(word.encode(), ranks), "<u4").tobytes()
 
+#: Longer texts are cut match by match, not into one list.
+LONG_TEXT = 1 << 20
+#: Bytes of ids that a task gathers before they go on.
+OUT_BYTES = 4 << 20
+CUT = "chunk long, doc_id long, n long, codes binary, code int, word string"
 
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words that occur at least c times, with the smallest c that leaves at most `most`. The counts' histogram, by powers of two beyond 64, is all that is collected."""
-    level = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.expr("shiftleft(1L, cast(floor(log2(n)) as int))"))
-    held, least = 0, None
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
-        held += r["words"]
-        if held > most:
-            break
-        least = r["level"]
-    return counts.where(F.lit(False)) if least is None else counts.where(level >= least)
 
+def _squeezed(codes: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, compressed: small numbers, the frequent words, take little."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
 
-class _Join(dict):
-    """The dictionary; a word that it lacks is encoded where it stands."""
 
-    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
-        super().__init__(known)
-        self.ranks, self.rest = ranks, {}
+def _spread(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
-    def __reduce__(self):
-        return _Join, (dict(self), self.ranks)
 
-    def __missing__(self, word: str) -> bytes:
-        got = self.rest.get(word)
-        if got is None:
-            if len(self.rest) > 20_000:
-                self.rest.clear()
-            got = self.rest[word] = _packed(word, self.ranks)
-        return got
+def cut(docs: DataFrame, pattern: str, chunk_chars: int, chunk_words: int) -> DataFrame:
+    """A row (chunk, doc_id, n, codes) for each text, and a row (chunk, code, word) for each distinct pre-token of a chunk. A chunk ends with the text that
+    brings it to chunk_chars characters or chunk_words distinct pre-tokens."""
+    out = to_arrow_schema(struct_of(CUT))
 
+    def rows(**columns: list) -> pa.RecordBatch:
+        n = max(map(len, columns.values()))
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), type=f.type) for f in out], schema=out)
 
-SCHEMA = "doc_id long, n_tokens long, ids binary"
-
-
-def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, max_dictionary: int = 150_000, decoded: bool = False) -> DataFrame:
-    """One row per document: its ids, as little-endian unsigned 32-bit integers, and their number; with `decoded` also what decode gives of them, in the same pass."""
-    spark = docs.sparkSession
-    slim = _slim(docs)
-    counts = materialise(spark, word_counts(slim.select("text"), pattern), "bpe-counts")
-    got = dictionary(frequent(counts, max_dictionary), ranks).toArrow()
-    held = spark.sparkContext.broadcast(_Join(dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True)), ranks))
-    table = spark.sparkContext.broadcast(token_bytes(ranks))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled, chunk = _cutter(pattern), TaskContext.get().partitionId() << 32
+        numbers, held = _Numbers(), 0
+
+        def words() -> Iterator[pa.RecordBatch]:
+            every = list(numbers)
+            for a in range(0, len(every), 10_000):
+                part = every[a : a + 10_000]
+                yield rows(chunk=[chunk] * len(part), code=list(range(a, a + len(part))), word=part)
+
+        for batch in (p for b in batches for p in pieces(b)):
+            made: dict[str, list] = {"chunk": [], "doc_id": batch["doc_id"].to_pylist(), "n": [], "codes": []}
+            for text in batch["text"].to_pylist():
+                found = compiled.findall(text) if text and len(text) < LONG_TEXT else (m[0] for m in compiled.finditer(text or ""))
+                codes = np.fromiter(map(numbers.__getitem__, found), np.uint32)
+                made["chunk"].append(chunk)
+                made["n"].append(len(codes))
+                made["codes"].append(_squeezed(codes) if len(codes) else b"")
+                held += len(text or "")
+                if held >= chunk_chars or len(numbers) >= chunk_words:
+                    yield from words()
+                    chunk, numbers, held = chunk + 1, _Numbers(), 0
+            yield rows(**made)
+        yield from words()
+
+    return docs.mapInArrow(run, CUT)
+
+
+def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(chunk, code, ids) of (chunk, code, word): the rows of a word lie side by side, and it is encoded at the first of them. ids: little-endian unsigned 32-bit integers."""
+    held = words.sparkSession.sparkContext.broadcast(ranks)
 
     def start():
-        find, ids = _cutter(pattern), held.value.__getitem__
+        table, last, ids = held.value, None, b""
 
         def apply(cols):
-            out = [b"".join(map(ids, find(t))) if t else b"" for t in cols["text"]]
-            made = {"doc_id": cols["doc_id"], "n_tokens": [len(x) // 4 for x in out], "ids": out}
-            return made | {"decoded": _decoded(out, table.value)} if decoded else made
+            nonlocal last, ids
+            made = []
+            for word in cols["word"]:
+                if word != last:
+                    last, ids = word, np.array(merge_word(word.encode(), table), "<u4").tobytes()
+                made.append(ids)
+            return {"chunk": cols["chunk"], "code": cols["code"], "ids": made}
 
         return apply
 
-    return map_columns(slim, SCHEMA + ", decoded binary" if decoded else SCHEMA, start)
-
+    return map_columns(words.select("chunk", "code", "word").repartition("word").sortWithinPartitions("word"), "chunk long, code int, ids binary", start)
 
-def encode_shuffled(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """The rows of encode, with every word in the dictionary and joined by a shuffle. A row's number is fixed by the written table, so rows that repeat stay apart."""
-    spark = docs.sparkSession
 
-    def cut():
-        find = _cutter(pattern)
-        return lambda cols: {"row": cols["row"], "doc_id": cols["doc_id"], "words": [find(t) if t else [] for t in cols["text"]]}
+SCHEMA = "doc_id long, n_tokens long, ids binary"
 
-    rows = materialise(spark, map_columns(_slim(docs).withColumn("row", F.monotonically_increasing_id()), "row long, doc_id long, words array<string>", cut), "bpe-words")
-    each = rows.select("row", F.posexplode("words").alias("pos", "word"))
-    words = dictionary(each.select("word").distinct(), ranks)
-    parts = each.join(words, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts")).select("row", F.col("parts.ids").alias("parts"))
 
-    def glue():
-        return lambda cols: {"doc_id": cols["doc_id"], "n_tokens": [sum(map(len, p)) // 4 if p else 0 for p in cols["parts"]], "ids": [b"".join(p) if p else b"" for p in cols["parts"]]}
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars: int = 24 << 20, chunk_words: int = 250_000, decoded: bool = False) -> DataFrame:
+    """One row per document: its ids, as little-endian unsigned 32-bit integers, and their number; with `decoded` also what decode gives of them, in the same pass."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = materialise(spark, cut(slim, pattern, chunk_chars, chunk_words), "bpe-cut")
+    words = encode_words(table.where("word is not null"), ranks).select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), F.col("ids").alias("codes"), "code")
+    texts = table.where("word is null").select("chunk", "doc_id", "n", "codes", "code")
+    schema = SCHEMA + ", decoded binary" if decoded else SCHEMA
+    out = to_arrow_schema(struct_of(schema))
+    known = spark.sparkContext.broadcast(token_bytes(ranks)) if decoded else None
 
-    return map_columns(rows.select("row", "doc_id").join(parts, "row", "left").select("doc_id", "parts"), SCHEMA, glue)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, parts, begin, length, flat, held = None, [], None, None, None, 0
+
+        def rows(made: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
+
+        def gathered() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Where the ids of each number begin in one array of all, how many they are, and that array."""
+            code = np.concatenate([c for c, _, _ in parts]) if parts else np.zeros(0, np.int64)
+            n = np.concatenate([k for _, k, _ in parts]) if parts else np.zeros(0, np.int64)
+            at = np.cumsum(n) - n
+            starts, lengths = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+            starts[code], lengths[code] = at, n
+            return starts, lengths, np.concatenate([f for _, _, f in parts]) if parts else np.zeros(0, "<u4")
+
+        for batch in (p for b in batches for p in pieces(b)):
+            chunks, is_text = batch["chunk"].to_numpy(), ~np.asarray(batch["code"].is_valid())
+            cuts = np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(chunks)], strict=True):
+                if chunks[a] != chunk:
+                    chunk, parts, begin = chunks[a], [], None
+                part = batch.slice(a, b - a)
+                if not is_text[a]:
+                    ids = part["codes"].to_pylist()
+                    parts.append((part["code"].to_numpy().astype(np.int64), np.fromiter(map(len, ids), np.int64) // 4, np.frombuffer(b"".join(ids), "<u4")))
+                    continue
+                if begin is None:
+                    begin, length, flat = gathered()
+                    parts = []
+                made: list[tuple] = []
+                for doc_id, n, raw in zip(*(part[c].to_pylist() for c in ("doc_id", "n", "codes")), strict=True):
+                    codes = _spread(raw, n) if n else np.zeros(0, np.int64)
+                    many = length[codes]
+                    ends = np.cumsum(many)
+                    ids = flat[np.repeat(begin[codes] - ends + many, many) + np.arange(ends[-1] if n else 0)].tobytes()
+                    made.append((doc_id, len(ids) // 4, ids, *(_decoded([ids], known.value) if decoded else ())))
+                    held += len(ids)
+                    if held > OUT_BYTES:
+                        yield rows(made)
+                        made, held = [], 0
+                if made:
+                    yield rows(made)
+                    held = 0
+
+    # of a chunk the words come first, then its texts
+    return words.union(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("code").isNull()).mapInArrow(run, schema)
 
 
 def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
