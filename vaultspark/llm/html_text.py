@@ -6,26 +6,32 @@ sheets' rules of one tag, .classes and #ids (no combinators) on display and visi
 screen: at-rules and sheets under a further condition, for other media or without scripts are left out. Of svg the text elements and foreignObject are shown, not what
 is drawn by reference only; of math all but annotations. Layout: white
 space collapses except in pre; paragraphs, headings, lists, tables and such are set off by a blank line; list items carry "- " or their number
-and are indented by depth; a table's cells are padded to the width of their column and joined by " | ".
+and are indented by depth; a table's cells are padded to the width of their column and joined by " | ", and columns in which no cell begins have no room.
 
-Defined results: null and empty html give empty text; ill-formed markup is read as far as it goes, never refused; nesting of any depth is
-walked without recursion, but tables nested deeper than MAX_TABLES are laid out as blocks. Repeated rows are each rendered. An
-empty table gives an empty result. Columns other than those named are not read.
+Defined results: null and empty html give empty text; ill-formed markup is read as far as it goes, never refused; a tag that the page ends in is not there, as in
+browsers. Repeated rows are each rendered. An empty table gives an empty result. Columns other than those named are not read.
+
+Time and output are in proportion to the page, however ill-formed or deep: no token is read twice, the open elements are found by name, and nothing recurses with the
+depth of the tree. What would make output grow with the square of the page ends: indents at INDENT columns; alignment at TABLES tables within one
+another, and the cells of tables below that follow one another as blocks; and a cell of several rows reaches down beside at most REACHING others. No text is lost by this.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_columns
 
-MAX_TABLES = 20
+TABLES, INDENT, REACHING = 24, 80, 100
 
 # Element names of the public HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +47,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 UNSEEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
 HTML_WITHIN = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: The most columns of a cell, by that standard.
+SPAN = 1000
 #: tag: (the open elements that its start ends, where the search for them stops)
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir", "table")),
@@ -59,6 +67,7 @@ IMPLIED = {
 
 # a quote delimits a value only where it directly follows "="
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?+)*+)>|[^<]+|<", re.S)
+_BEGINS = re.compile(r"/?[a-zA-Z]")
 _ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _CSS = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|(\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|url\(\s*[^\"'\s)][^)]*\)?)|(\\.|[^{};\"'/\\u<-]+)|.", re.S | re.I)
 _SELECTOR = re.compile(r"([A-Za-z_][\w-]*)?((?:[.#][A-Za-z_-][\w-]*)*)")
@@ -75,6 +84,40 @@ class Node:
         self.tag, self.attrs, self.kids, self.foreign, self.draws = tag, attrs, [], foreign, draws
 
 
+class _Open:
+    """The open elements, the innermost last, and where those of each name are among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Of the innermost of these names; 0 if there is none."""
+        return max((a[-1] for t in tags if (a := self.at.get(t))), default=0)
+
+    def cut(self, k: int) -> None:
+        """Closes the k-th and all within."""
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
+
+    def end(self, tags: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+        """Closes the innermost of tags, unless one of bounds lies within it."""
+        k = self.last(tags)
+        if k > self.last(bounds):
+            self.cut(k)
+
+    def close(self, name: str) -> None:
+        if name == "br":
+            self.nodes[-1].kids.append(Node("br", {}))
+        elif k := self.last((name,)):
+            # an inline end tag does not reach out of a cell
+            if name in BLOCKS or k >= self.last(("td", "th", "table")):
+                self.cut(k)
+
+
 @dataclass(frozen=True)
 class Rule:
     """What a selector says of display and visibility: property -> (rank, value), the greater rank before the lesser."""
@@ -87,78 +130,61 @@ class Rule:
 def parse(source: str) -> tuple[Node, dict[str, list[Rule]]]:
     """The tree, and the style sheets' rules by one .class, #id or tag of each."""
     root = Node("#root", {})
-    stack, sheet = [root], []
+    stack, sheet = _Open(root), []
     pos, n = 0, len(source)
     while pos < n:
-        m = _TOKEN.match(source, pos)
-        if stack[-1].foreign and source.startswith("<![CDATA[", pos):
+        up = stack.nodes[-1]
+        if up.foreign and source.startswith("<![CDATA[", pos):
             end = source.find("]]>", pos)
-            if stack[-1].draws:
-                stack[-1].kids.append(source[pos + 9 : end if end >= 0 else n])
+            if up.draws:
+                up.kids.append(source[pos + 9 : end if end >= 0 else n])
             pos = end + 3 if end >= 0 else n
             continue
+        m = _TOKEN.match(source, pos)
         pos = m.end()
         name = m[2]
         if name is None:
-            if (m[0][0] != "<" or m[0] == "<") and stack[-1].draws:
-                stack[-1].kids.append(html.unescape(m[0]) if "&" in m[0] else m[0])
+            if m[0] == "<" and _BEGINS.match(source, pos):
+                break  # a tag that the page ends in
+            if (m[0][0] != "<" or m[0] == "<") and up.draws:
+                up.kids.append(html.unescape(m[0]) if "&" in m[0] else m[0])
             continue
         name = name.lower()
         if m[1]:
-            _close(stack, name, root)
+            stack.close(name)
             continue
         attrs = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTR.findall(m[3])} if m[3] else {}
         if name in BREAKOUT:
-            while stack[-1].foreign and stack[-1].tag not in HTML_WITHIN:
-                stack.pop()
+            while stack.nodes[-1].foreign and stack.nodes[-1].tag not in HTML_WITHIN:
+                stack.cut(len(stack.nodes) - 1)
         if name in ENDS_P:
-            _end(stack, ("p",), ("td", "th", "li", "table", "button", "caption"))
+            stack.end(("p",), ("td", "th", "li", "table", "button", "caption"))
         if name in IMPLIED:
-            _end(stack, *IMPLIED[name])
-        up = stack[-1]
+            stack.end(*IMPLIED[name])
+        up = stack.nodes[-1]
         foreign = name in ("svg", "math") or up.foreign and up.tag not in HTML_WITHIN
         node = Node(name, attrs, foreign, name != "svg" and (up.draws or foreign and name in ("text", "foreignobject", "math")))
         up.kids.append(node)
         if foreign and m[3].endswith("/") and [a.end() for a in _ATTR.finditer(m[3])][-1:] != [len(m[3])]:
             continue
         if name in RAW and (not foreign or name in ("script", "style", "title")):
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, pos)
+            end = re.compile(rf"</{name}\b", re.I).search(source, pos)
             inner = source[pos : end.start() if end else n]
-            pos = end.end() if end else n
+            shut = source.find(">", end.end()) if end else -1
+            pos = shut + 1 if shut >= 0 else n
             if name == "style":
                 kind = attrs.get("type", "").strip().lower()
-                if kind in ("", "text/css") and _on_screen(attrs.get("media", "")) and not any(k.tag in ("noscript", "template") for k in stack):
+                if kind in ("", "text/css") and _on_screen(attrs.get("media", "")) and not stack.last(("noscript", "template")):
                     sheet.append(inner.replace("<![CDATA[", "").replace("]]>", "") if foreign else inner)
             elif name == "textarea":
                 node.kids.append(html.unescape(inner))
             elif name == "xmp":
                 node.kids.append(inner)
         elif foreign or name not in VOID:
-            stack.append(node)
+            stack.push(node)
     return root, _rules(sheet)
 
 
-def _end(stack: list[Node], tags: tuple[str, ...], bounds: tuple[str, ...]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in bounds:
-            return
-
-
-def _close(stack: list[Node], name: str, root: Node) -> None:
-    if name == "br":
-        stack[-1].kids.append(Node("br", {}))
-        return
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == name:
-            del stack[k:]
-            return
-        if stack[k].tag in ("td", "th", "table") and name not in BLOCKS:
-            return  # an inline end tag does not reach out of a cell
-
-
 def _on_screen(media: str) -> bool:
     """Whether a list of media queries holds on every screen."""
     return not media.strip() or any(" ".join(q.lower().split()) in ("all", "screen", "only all", "only screen") for q in media.split(","))
@@ -168,8 +194,8 @@ _UNLAYERED, _INLINE = 1 << 30, 1 << 31
 
 
 def _rules(sheets: list[str]) -> dict[str, list[Rule]]:
-    out: dict[str, list[Rule]] = {}
-    layers: dict[str, int] = {}
+    found: dict[tuple, dict[str, tuple[tuple, str]]] = {}
+    layers: dict[tuple[int, str], int] = {}
     order = 0
 
     def note(selectors: str, body: str, layer: int) -> None:
@@ -178,22 +204,19 @@ def _rules(sheets: list[str]) -> dict[str, list[Rule]]:
         said = _style(body)
         if not said:
             return
-        before = None
-        while before != selectors:  # commas within brackets part no selectors
-            before, selectors = selectors, re.sub(r"\([^()]*\)|\[[^\[\]]*\]", "\0", selectors)
-        for s in selectors.split(","):
+        for s in _without_brackets(selectors).split(","):  # commas within brackets part no selectors
             m = _SELECTOR.fullmatch(s.strip())
             if m and m[0]:
                 marks = re.findall(r"[.#][^.#]+", m[2])
                 ids = sum(k[0] == "#" for k in marks)
                 spec = (ids, len(marks) - ids, bool(m[1]))
                 ranked = {p: ((strong, -layer if strong else layer, spec, order, at), v) for p, (strong, at, v) in said.items()}
-                tag = m[1] and m[1].lower()
-                out.setdefault(marks[0] if marks else tag, []).append(Rule(tag, frozenset(marks), ranked))
+                held = found.setdefault((m[1] and m[1].lower(), frozenset(marks)), {})
+                held |= {p: v for p, v in ranked.items() if p not in held or v[0] > held[p][0]}
 
     for css in sheets:
         # what is open: (selectors or None, whether it holds, layer)
-        stack: list[tuple[str | None, bool, int, str]] = [(None, True, _UNLAYERED, "")]
+        stack: list[tuple[str | None, bool, int, int]] = [(None, True, _UNLAYERED, -1)]
         held: list[str] = []
         for m in _CSS.finditer(css):
             part = m[0]
@@ -210,8 +233,7 @@ def _rules(sheets: list[str]) -> dict[str, list[Rule]]:
                     at, _, rest = text[1:].partition(" ") if re.match(r"@[\w-]+\s", text) else (re.match(r"@([\w-]*)", text)[1], "", re.sub(r"^@[\w-]*", "", text))
                     at = at.strip().lower()
                     if at == "layer":
-                        path = f"{path}.{rest.strip() or len(layers)}"
-                        layer = layers.setdefault(path, len(layers))
+                        layer = path = layers.setdefault((path, rest.strip() or str(len(layers))), len(layers))
                     stack.append((selectors, holds and (at == "layer" or at == "media" and _on_screen(rest)), layer, path))
                 else:
                     stack.append((text, holds and selectors is None, layer, path))
@@ -220,14 +242,31 @@ def _rules(sheets: list[str]) -> dict[str, list[Rule]]:
                 note(selectors, text, layer)
             elif part == ";" and selectors is None and text.lower().startswith("@layer"):
                 for one in text[6:].split(","):
-                    layers.setdefault(f"{path}.{one.strip()}", len(layers))
+                    layers.setdefault((path, one.strip()), len(layers))
             if part == "}" and len(stack) > 1:
                 stack.pop()
         if stack[-1][0] is not None and stack[-1][1] and held:
             note(stack[-1][0], "".join(held), stack[-1][2])
+    out: dict[str, list[Rule]] = {}
+    for (tag, marks), said in found.items():
+        out.setdefault(min(marks) if marks else tag, []).append(Rule(tag, marks, said))
     return out
 
 
+def _without_brackets(selectors: str) -> str:
+    """What stands in brackets gives way to a character that no selector has."""
+    out, depth = [], 0
+    for part in re.split(r"([()\[\]])", selectors):
+        if part in ("(", "["):
+            depth += 1
+        elif part in (")", "]"):
+            depth = max(0, depth - 1)
+            out.append("\0")
+        elif not depth:
+            out.append(part)
+    return "".join(out) + "\0" * bool(depth)
+
+
 def _style(body: str) -> dict[str, tuple[bool, int, str]]:
     """Of display and visibility: property -> (important, place, value), as far as something is said."""
     out: dict[str, tuple[bool, int, str]] = {}
@@ -279,7 +318,7 @@ class _Page:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.breaks, self.space, self.mark = 0, False, ""
-        self.indent = ""
+        self.indent = 0
 
     def end(self, breaks: int) -> None:
         self.breaks = max(self.breaks, breaks)
@@ -292,10 +331,8 @@ class _Page:
                 self.lines.append("")
         self.breaks = 0
         if not self.line:
-            lead = self.indent
-            if self.mark:
-                lead, self.mark = lead[: len(lead) - len(self.mark)] + self.mark, ""
-            self.line.append(lead)
+            self.line.append(" " * (min(self.indent, INDENT) - len(self.mark)) + self.mark)
+            self.mark = ""
         elif self.space:
             self.line.append(" ")
         self.space = False
@@ -360,7 +397,7 @@ def _layout(top: Node, css: dict[str, list[Rule]], hidden: bool, depth: int) ->
                     page.lines.append("")
                 page.space = False
             continue
-        if tag == "table" and depth < MAX_TABLES:
+        if tag == "table" and depth < TABLES:
             rows = _table(node, css, hidden, depth)
             if rows:
                 page.end(2)
@@ -394,13 +431,13 @@ def _layout(top: Node, css: dict[str, list[Rule]], hidden: bool, depth: int) ->
         elif tag in ("blockquote", "dd"):
             lead = 2
         if lead:
-            page.indent += " " * lead
+            page.indent += lead
 
         def leave(gap=gap, lead=lead, li=tag == "li"):
             if gap:
                 page.end(gap)
             if lead:
-                page.indent = page.indent[:-lead]
+                page.indent -= lead
             if li:
                 page.mark = ""
 
@@ -416,11 +453,19 @@ def _layout(top: Node, css: dict[str, list[Rule]], hidden: bool, depth: int) ->
 
 def _table(table: Node, css: dict[str, list[Rule]], hidden: bool, depth: int) -> list[str]:
     """The table's lines."""
-    grid: list[list[tuple[list[str], int]]] = []
+    grid: list[list[tuple[list[str], int, int]]] = []  # of each row the cells: lines, first column, the column after the last
     titles: list[str] = []
-    spread: dict[tuple[int, int], bool] = {}
+    reach: list[list[int]] = []  # cells of former rows that reach into this one: first column, the column after the last, rows left
     todo = [(k, table, hidden) for k in reversed(table.kids)]
     row: list | None = None
+
+    def begin() -> list:
+        for r in reach:
+            r[2] -= 1
+        reach[:] = sorted(r for r in reach if r[2] > 0)
+        grid.append([])
+        return grid[-1]
+
     while todo:
         node, parent, hide = todo.pop()
         if isinstance(node, str):
@@ -431,45 +476,51 @@ def _table(table: Node, css: dict[str, list[Rule]], hidden: bool, depth: int) ->
         if not shown:
             continue
         if node.tag == "tr" or node.tag in ("td", "th") and row is None:
-            row = []
-            grid.append(row)
+            row = begin()
         if node.tag in ("td", "th"):
-            while spread.pop((len(grid) - 1, sum(c[1] for c in row)), False):
-                row.append(([""], 1))
-            span, down = (int(v) if re.fullmatch(r"\d{1,3}", v := node.attrs.get(k, "1")) and int(v) else 1 for k in ("colspan", "rowspan"))
-            at = sum(c[1] for c in row)
-            for r in range(1, min(down, 200)):
-                for c in range(min(span, 200)):
-                    spread[len(grid) - 1 + r, at + c] = True
-            row.append((_layout(node, css, hide, depth + 1).split("\n"), min(span, 200)))
+            at = row[-1][2] if row else 0
+            for first, after, _ in reach:
+                if first <= at < after:
+                    row.append(([""], at, after))
+                    at = after
+            span = min(SPAN, max(1, _number(node.attrs.get("colspan"), 1)))
+            down = _number(node.attrs.get("rowspan"), 1)
+            row.append((_layout(node, css, hide, depth + 1).split("\n"), at, at + span))
+            if down != 1 and len(reach) < REACHING:
+                reach.append([at, at + span, down or sys.maxsize])
         elif node.tag == "caption":
             titles += [t for t in [_layout(node, css, hide, depth + 1)] if t]
         elif node.tag in ("tr", "tbody", "thead", "tfoot", "colgroup"):
             todo += [(k, node, hide) for k in reversed(node.kids)]
         elif inner := _layout_one(node, css, hide, depth + 1):
             titles.append(inner)
-    wide: dict[int, int] = {}
-    for row in grid:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                wide[at] = max(wide.get(at, 0), *map(width, lines))
-            at += span
+    # only columns in which a cell begins are there
+    starts = sorted({at for row in grid for _, at, _ in row})
+    place = {c: k for k, c in enumerate(starts)}
+    room = [0] * len(starts)
+    cells = [[(lines, place[at], bisect_left(starts, after)) for lines, at, after in row] for row in grid]
+    for row in cells:
+        for lines, at, after in row:
+            if after == at + 1:
+                room[at] = max(room[at], *map(width, lines))
+    upto = [0, *accumulate(room)]
     out = [line for t in titles for line in t.split("\n")]
-    for row in grid:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            at, cells = 0, []
-            for lines, span in row:
-                said = lines[k] if k < len(lines) else ""
-                room = sum(wide.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-                cells.append(said + " " * (room - width(said)))
-                at += span
-            line = " | ".join(cells).rstrip()
+    for row in cells:
+        for k in range(max((len(lines) for lines, _, _ in row), default=0)):
+            said = []
+            for lines, at, after in row:
+                part = lines[k] if k < len(lines) else ""
+                said.append(part + " " * (upto[after] - upto[at] + 3 * (after - at - 1) - width(part)))
+            line = " | ".join(said).rstrip()
             if line.strip(" |"):
                 out.append(line)
     return out
 
 
+def _number(value: str | None, default: int) -> int:
+    return int(value) if value and re.fullmatch(r"[0-9]{1,9}", value) else default
+
+
 def _layout_one(node: Node, css: dict[str, list[Rule]], hidden: bool, depth: int) -> str:
     top = Node("#part", {})
     top.kids.append(node)
