@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -60,6 +61,70 @@ def test_html_conditional_rules_and_lost_text(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "starts", "ends"),
+    [
+        ("x" + "<a " * 1_700_000, "x", "x"),
+        ("x" + "<a " * 300_000 + "='>'", "x", "x"),
+        ("<div>" * 200_000 + "deep", "deep", "deep"),
+        ("<ul><li>" * 60_000 + "deep", " " * 78 + "- deep", "- deep"),
+        ("<p>" * 300_000 + "y", "y", "y"),
+        ("<table><tr><td>" * 40_000 + "t", "t", "t"),
+        ("<script>" + "</script " * 200_000, "", ""),
+        ("<style>" + "b:is(" * 60_000 + ")" * 60_000 + "{display:none}" + "@layer a{" * 60_000 + "</style><b>b</b>", "b", "b"),
+        ("<table>" + "<tr><td rowspan=65534 colspan=1000>x" * 20_000, "x", "x"),
+        ("<b>" * 100_000 + "</i>" * 100_000 + "z", "z", "z"),
+    ],
+)
+def test_html_takes_time_in_proportion(page, starts, ends):
+    began = time.process_time()
+    text = html_text.render(page)
+    assert text.startswith(starts) and text.endswith(ends) and time.process_time() - began < 20
+
+
+def test_html_spans():
+    assert html_text.render("<table><tr><td rowspan=2>a<td colspan=2>bc<tr><td>d<td>e<tr><td colspan=500>all</table>").split("\n") == ["a | bc", "  | d | e", "all"]
+    assert html_text.render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>").split("\n") == ["a | b", "  | c", "  | d"]
+
+
+def test_html_keeps_every_visible_word_in_order():
+    """Random trees: what is written as a page is also read off the tree itself."""
+    import random
+
+    rng = random.Random(17)
+    made = iter(f"w{k}" for k in range(10**6))
+
+    def tree(depth, hidden):
+        if depth == 0 or rng.random() < 0.25:
+            w = next(made)
+            return w, [] if hidden else [w]
+        kind = rng.choice(["div", "p", "b", "ul", "table", "h2", "none", "comment", "pre", "shown", "script"])
+        if kind == "comment":
+            return f"<!-- {next(made)} <b> -->", []
+        if kind == "script":
+            return f"<script>if (a<b) '{next(made)}'</script>", []
+        if kind == "p":  # holds no block
+            words = [next(made) for _ in range(rng.randrange(1, 4))]
+            return "<p>" + " <i>".join(words) + "</i>" * (len(words) - 1) + rng.choice(["", "</p>"]), [] if hidden else words
+        if kind == "ul":
+            kids = [tree(depth - 1, hidden) for _ in range(rng.randrange(1, 4))]
+            return "<ul>" + "".join("<li>" + h + rng.choice(["", "</li>"]) for h, _ in kids) + "</ul>", [w for _, ws in kids for w in ws]
+        if kind == "table":  # a column, so that words are read cell by cell
+            kids = [tree(depth - 1, hidden) for _ in range(rng.randrange(1, 4))]
+            return "<table>" + "".join("<tr><td>" + h + rng.choice(["", "</td></tr>"]) for h, _ in kids) + "</table>", [w for _, ws in kids for w in ws]
+        out = kind == "none"
+        kids = [tree(depth - 1, hidden or out) for _ in range(rng.randrange(1, 4))]
+        tag, more = {"none": ("div", rng.choice([" hidden", " style='display:none'", " class='a n'"])), "shown": ("span", " style=color:red")}.get(kind, (kind, ""))
+        if kind in ("b", "shown"):
+            tag = "span"
+        return f"<{tag}{more}> " + " ".join(h for h, _ in kids) + f" </{tag}>", [w for _, ws in kids for w in ws]
+
+    for _ in range(300):
+        page, want = zip(*(tree(5, False) for _ in range(3)), strict=True)
+        got = html_text.render("<style>.n{display:none}</style>" + " ".join(page))
+        assert re.findall(r"w\d+", got) == [w for ws in want for w in ws], page
+
+
 # --- 2 ---
 
 
@@ -260,6 +325,30 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(frame, none).where("toxic or severity > 0").count() == 0 and toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_ordinal_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(13)
+    cols, at, y = rng.integers(0, 9, 300), np.sort(rng.integers(0, 60, 300)), rng.integers(0, 3, 60)
+    p = rng.normal(size=9 + 2)
+    _, g = toxicity.loss_and_gradient(p, cols, at, y, 0.3)
+    for k in range(len(p)):
+        step = np.zeros(len(p))
+        step[k] = 1e-6
+        up, down = (toxicity.loss_and_gradient(p + s * step, cols, at, y, 0.3)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-6 - g[k]) < 1e-6
+
+
+def test_severity_follows_grades_of_the_labels(spark):
+    rng = np.random.default_rng(14)
+    pool = [f"gut{a}" for a in "abcdefghijklmnop"]
+    rows, grades = [], {}
+    for k in range(900):
+        grades[k] = g = int(rng.choice(3, p=[0.7, 0.15, 0.15]))
+        rows.append((k, " ".join([*rng.choice(pool, 12), *["mild", "harsh"][:g]])))
+    labels = spark.createDataFrame([(k, int(g > 0), int(g < 2)) for k, g in grades.items() if k < 600], "doc_id long, toxic int, quality int")
+    got = toxicity.score(docs(spark, rows), toxicity.fit(docs(spark, rows), labels)).where("doc_id >= 600").collect()
+    assert sum(r["grade"] == grades[r["doc_id"]] for r in got) / len(got) > 0.95
+
+
 def test_toxicity_counts_a_repeated_id_once(spark):
     rows = [(k, f"wort gut{k % 9} " + ("vile grim" if k % 4 == 0 else "klar fein")) for k in range(200)]
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
@@ -310,7 +399,7 @@ def test_ngram_join(spark, k, num, den, block):
         rows.append(w)
     texts = [" ".join(w) for w in rows] + [None, "", " \t\n", "one", "ONE", "a b", texts_upper(rows[0])]
     pairs = list(enumerate(texts))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, pairs), k, num, den, block=block, max_broadcast=1 if block == 300 else 300_000).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, pairs).repartition(3), k, num, den, block=block, list_bytes=400 if block == 300 else 8 << 20, max_broadcast=1 if block == 300 else 300_000).collect()}
     assert got == components_of(pairs, k, num, den)
 
 
@@ -318,6 +407,35 @@ def texts_upper(w):
     return "\n ".join(x.upper() if x.isascii() else x for x in w)
 
 
+def test_signatures_never_exclude_a_link():
+    rng = np.random.default_rng(15)
+    for num, den in ((90, 100), (80, 100), (50, 100)):
+        for _ in range(300):
+            x = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0.5, 0.9, 1])], rng.integers(0, 1 << 62, rng.integers(0, 40)).astype(np.uint64)]))
+            if len(y) and ngram_join.linked(x, y, num, den):
+                assert ngram_join.alike(np.array([len(x), len(y)]), [ngram_join.signature(s, num, den) for s in (x, y)], num, den)
+
+
+def test_alike_connects_what_brute_force_does():
+    rng = np.random.default_rng(16)
+    for _ in range(30):
+        base = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in rng.integers(10, 300, 4)]
+        sets = [np.unique(np.concatenate([(b := base[rng.integers(0, 4)])[rng.random(len(b)) < 0.95], rng.integers(0, 1 << 62, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(40)]
+        sigs = [ngram_join.signature(s, 80, 100) for s in sets]
+        pairs = ngram_join.alike(np.array(list(map(len, sets))), sigs, 80, 100)
+        up = list(range(40))
+
+        def find(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        assert all(find(a) == find(b) for a in range(40) for b in range(a) if ngram_join.linked(sets[a], sets[b], 80, 100))
+
+
 def test_ngram_edges(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
     got = ngram_join.join(docs(spark, [(None, "a b c d"), (4, "A b c d"), (4, "A b c d"), (None, None)])).collect()
@@ -363,11 +481,11 @@ def test_bpe(spark):
     ranks = bpe.load_ranks(path)
     assert ranks == {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [None, "", "Hello  world\n\n it's", "日本語 \U0001f600 é<|endoftext|>", "a" * 5000, "  \t ", "x" * 3 + " 12345 $$$"] * 2
+    texts = [None, "", "Hello  world\n\n it's", "日本語 \U0001f600 é<|endoftext|>", "a" * 5000, "  \t ", "x" * 3 + " 12345 $$$", "long word " * 120_000] * 2
     frame = docs(spark, enumerate(texts))
     want = Counter((k, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()) for k, t in enumerate(texts))
-    for made in (bpe.encode(frame, ranks, P.PATTERN), bpe.encode(frame, ranks, P.PATTERN, max_dictionary=3), bpe.encode_shuffled(frame, ranks, P.PATTERN)):
-        rows = bpe.decode(made, ranks).collect()
+    for made in (bpe.encode(frame, ranks, P.PATTERN), bpe.encode(frame, ranks, P.PATTERN, chunk_chars=1), bpe.encode(frame, ranks, P.PATTERN, chunk_words=4, decoded=True)):
+        rows = (made if "decoded" in made.columns else bpe.decode(made, ranks)).collect()
         assert Counter((r["doc_id"], bytes(r["ids"])) for r in rows) == want
         assert all(bytes(r["decoded"]).decode() == (texts[r["doc_id"]] or "") and r["n_tokens"] * 4 == len(r["ids"]) for r in rows)
     assert bpe.encode(docs(spark, []), ranks, P.PATTERN).count() == 0

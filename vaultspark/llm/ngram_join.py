@@ -5,10 +5,14 @@
    two linked sets meet among their first n - T + 1: the short lists; the rest are the long ones, which need not be gone through. The
    order is: rarer first, by a sketch of shingle counts over the whole corpus (a fixed number of counters, whatever the input), then by hash.
    A wrong count can only lengthen lists, never lose a link.
-3. Candidates. Each short list, sorted by size, is chained where neighbours' sizes allow a link; chained classes form candidate components.
-4. Search. Within a component (cut in blocks of bounded size) DivideSkip runs: the short lists are merged through a heap, what occurs often enough
+3. Candidates. Lists of one member go, and of lists with the same members one stays. The classes of a list are compared by signatures: bit b of a set's is the
+   parity of its shingles that fall on b, so two signatures differ in at most as many bits as their sets in shingles; pairs that
+   differ in more than a link allows are no candidates. A list that is too heavy for a task is cut, and every pair of its parts is a task. No pair is
+   compared whose ends are known to hang together in the list, so a group of near copies gives about one pair a member.
+4. Search. Candidate pairs form components, which are groups of near copies or nearly so: nothing is joined that hasn't passed the signatures. Within a component
+   DivideSkip runs on the whole sets: the short lists are merged through a heap, what occurs often enough
    there is looked up in the long lists by binary search, and classes that reach the overlap of their sizes are linked. Once the members
-   are known to hang together no further pair is looked at. A heavier component is first cut by size, into overlapping pairs of bands; where such a part still takes
+   are known to hang together no further pair is looked at. A component heavier than a block is first cut by size, into overlapping pairs of bands; where such a part still takes
    several blocks, its least class is compared with all members first, and only those that don't link with it are then searched for in every block.
 5. Components of the links, spread to all members of the classes.
 
@@ -111,36 +115,64 @@ def needed(n: int, m: int, num: int, den: int) -> int:
     return -(-num * (n + m) // (num + den))
 
 
-# --- T-occurrence search within a block ---
-
+def allowed(n: int, m: int, num: int, den: int) -> int:
+    """How many shingles linked sets of n and m may not share."""
+    return n + m - 2 * needed(n, m, num, den)
+
+
+def signature(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Parities of the numbers of shingles by their last bits, packed. Three times as many bits as linked sets may differ in, as unrelated sets differ in half of
+    them: a power of two, so that a longer signature folds to a shorter."""
+    bits = max(64, 1 << (3 * allowed(len(s), len(s), num, den) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """A signature of so many words of 64 bits."""
+    return np.bitwise_xor.reduce(sig.reshape(-1, words), axis=0)
+
+
+def alike(sizes: np.ndarray, sigs: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of members of a list whose signatures allow a link, enough of them to connect all that such pairs connect."""
+    n = len(sizes)
+    width = np.array([len(x) for x in sigs])
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    label, found = np.arange(n), []
+    for w in np.unique(width).tolist():  # all that are at least so wide
+        of = np.flatnonzero(width >= w)
+        tables[w] = of, np.stack([folded(sigs[k], w) for k in of])
+    hub = 0
+    for x in range(n):
+        big = label == label[hub]
+        if big.sum() * 2 > n and big[x]:
+            continue  # two that aren't connected yet have one outside the largest, which compares itself with all
+        for w, (of, table) in tables.items():
+            if w > width[x]:
+                continue
+            mine = label[of] != label[x]
+            if w < width[x]:
+                mine &= width[of] == w  # wider ones are compared at the full width of x
+            mine &= (np.minimum(sizes[of], sizes[x]) * den >= num * np.maximum(sizes[of], sizes[x]))
+            at = np.flatnonzero(mine)
+            if not len(at):
+                continue
+            both = sizes[of[at]] + sizes[x]
+            differ = np.bitwise_count(table[at] ^ folded(sigs[x], w)).sum(axis=1, dtype=np.int64)
+            for y in of[at[differ <= both - 2 * (-(-num * both // (num + den)))]].tolist():
+                if label[y] != label[x]:
+                    found.append((x, y))
+                    label[label == label[y]] = label[x]
+        if (label == label[x]).sum() > (label == label[hub]).sum():
+            hub = x
+    return found
 
-class _Union:
-    def __init__(self, n: int):
-        self.up, self.size = list(range(n)), [1] * n
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        if self.size[a] < self.size[b]:
-            a, b = b, a
-        self.up[b] = a
-        self.size[a] += self.size[b]
-        return True
+# --- T-occurrence search within a block ---
 
 
 def heap_merge(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
-    """(document, occurrences) of documents in at least `least` of the sorted lists. Many entries are merged by a sort, which counts alike."""
-    if sum(map(len, lists)) > 4096:
-        docs, n = np.unique(np.concatenate(lists), return_counts=True)
-        keep = n >= least
-        return list(zip(docs[keep].tolist(), n[keep].tolist(), strict=True))
+    """(document, occurrences) of documents in at least `least` of the sorted lists."""
     plain = [x.tolist() for x in lists if len(x)]
     heap = [(x[0], k, 0) for k, x in enumerate(plain)]
     heapq.heapify(heap)
@@ -164,9 +196,10 @@ def heap_merge(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
 
 def block_links(sets: list[np.ndarray], asks: list[bool], num: int, den: int, mu: float = 0.0085) -> list[tuple[int, int]]:
     """Links between sets, one of each asking, that together connect all that the links between them connect: a spanning forest of them."""
+    all_ask = all(asks)
     n = len(sets)
     sizes = [len(s) for s in sets]
-    union, links = _Union(n), []
+    label, links = np.arange(n), []
     owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
     tokens, token = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True)
     codes = np.sort(token.astype(np.int64) * n + owner)  # the lists, one after the other, each sorted
@@ -175,13 +208,12 @@ def block_links(sets: list[np.ndarray], asks: list[bool], num: int, den: int, mu
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     lengths = ends - starts
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    biggest = 0
-    todo = [x for x in range(n) if asks[x]]
-    for x in todo:
-        if union.size[union.find(biggest)] == n:
+    hub, hubs = 0, 1
+    for x in (x for x in range(n) if asks[x]):
+        if hubs == n:
             break
         # a link between two components has an end outside the largest; all that ask are outside it or were asked before it grew
-        if all(asks) and union.size[union.find(biggest)] > n // 2 and union.find(x) == union.find(biggest):
+        if all_ask and hubs > n // 2 and label[x] == label[hub]:
             continue
         own = token[begin[x] : begin[x + 1]]
         own = own[lengths[own] > 1]
@@ -192,8 +224,10 @@ def block_links(sets: list[np.ndarray], asks: list[bool], num: int, den: int, mu
         # of the longest lists at most t - 1 are only looked up
         skip = min(t - 1, int(t / (mu * np.log2(max(2, int(lengths[own[-1]]))) + 1)))
         short, long = own[: len(own) - skip], own[len(own) - skip :]
-        for y, seen in heap_merge([docs[starts[k] : ends[k]] for k in short.tolist()], max(1, t - skip)):
-            if y == x or union.find(x) == union.find(y):
+        # what hangs together with x already need not be merged
+        lists = [(part := docs[starts[k] : ends[k]])[label[part] != label[x]] for k in short.tolist()]
+        for y, seen in heap_merge(lists, max(1, t - skip)):
+            if label[x] == label[y]:
                 continue
             must = needed(sizes[x], sizes[y], num, den)
             if seen + len(long) < must or min(sizes[x], sizes[y]) * den < num * max(sizes[x], sizes[y]):
@@ -202,10 +236,10 @@ def block_links(sets: list[np.ndarray], asks: list[bool], num: int, den: int, mu
             at = np.searchsorted(codes, code)
             got = seen + int((codes[np.minimum(at, len(codes) - 1)] == code).sum())
             if got >= must:
-                union.join(x, y)
+                label[label == label[y]] = label[x]
                 links.append((x, y))
-                if union.size[union.find(x)] > union.size[union.find(biggest)]:
-                    biggest = x
+        if (mine := int((label == label[x]).sum())) > hubs or label[x] == label[hub]:
+            hub, hubs = x, mine
     return links
 
 
@@ -220,9 +254,9 @@ def _slots(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _first_pass(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, h, row, n_shingles, digest), h the text's hash, and from each task rows (piece, counts) of its part of the sketch, in counters that stop at 255."""
-    schema = "doc_id long, h long, row long, n_shingles long, digest binary, piece int, counts binary"
+def _first_pass(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Rows (doc_id, h, row, n_shingles, digest, sig), h the text's hash, and from each task rows (piece, counts) of its part of the sketch, in counters that stop at 255."""
+    schema = "doc_id long, h long, row long, n_shingles long, digest binary, sig binary, piece int, counts binary"
     out = to_arrow_schema(struct_of(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +267,12 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
             counts[slots] = np.minimum(255, counts[slots] + n)
 
         for batch in (p for b in batches for p in pieces(b)):
-            n, d = [], []
+            n, d, sigs = [], [], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, k)
                 n.append(len(s))
                 d.append(digest(s))
+                sigs.append(signature(s, num, den).tobytes())
                 held.append(_slots(s))
                 waiting += len(s)
                 if waiting > 500_000:
@@ -245,14 +280,14 @@ def _first_pass(docs: DataFrame, k: int) -> DataFrame:
                     held.clear()
                     waiting = 0
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], batch["row"], pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], batch["row"], pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(sigs, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=out)
         if held:
             add()
         width = 1 << _PIECE_BITS
         for p in range(1 << (SLOT_BITS - _PIECE_BITS)):
             piece = counts[p * width : (p + 1) * width]
             if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([None], pa.binary()), pa.array([p], pa.int32()), pa.array([piece.tobytes()], pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([None], pa.binary())] * 2 + [pa.array([p], pa.int32()), pa.array([piece.tobytes()], pa.binary())], schema=out)
 
     return docs.mapInArrow(run, schema)
 
@@ -284,11 +319,11 @@ def _rarity(pieces: DataFrame) -> np.ndarray:
     return out
 
 
-def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int = 1_500_000, max_broadcast: int = 300_000, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int = 1_500_000, list_bytes: int = 8 << 20, max_broadcast: int = 300_000, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (doc_id, h, row, n_shingles, digest) of each document, row being its row_col if one is named; links (a, b) between classes, enough of them to connect all that links connect."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
-    both = materialise(spark, _first_pass(slim, k), "ngram-sets")
+    both = materialise(spark, _first_pass(slim, k, num, den), "ngram-sets")
     rows = both.where("piece is null").select("doc_id", "h", "row", "n_shingles", "digest")
     rarity = spark.sparkContext.broadcast(_rarity(both.where("piece is not null").select("piece", "counts")))
 
@@ -313,12 +348,57 @@ def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int =
 
     lists = slim.mapInArrow(short_lists, "token long, digest binary, size int")
     order = Window.partitionBy("token").orderBy("size", "digest")
-    chained = lists.select("digest", "size", F.lag("digest").over(order).alias("before"), F.lag("size").over(order).alias("size_before"))
-    chained = chained.where((F.col("before") != F.col("digest")) & (F.col("size_before").cast("long") * den >= F.col("size").cast("long") * num))
-    pairs = materialise(spark, forest(chained.select(F.col("before").alias("a"), F.col("digest").alias("b"))), "ngram-candidates")
+    near = lists.withColumns({f"{c}_{side}": f(c).over(order) for side, f in (("before", F.lag), ("after", F.lead)) for c in ("digest", "size")})
+    # what has nothing of a fitting size beside it has none in its list; copies of a class from several tasks lie side by side
+    fits = lambda low, high: F.col(low).cast("long") * den >= F.col(high).cast("long") * num
+    before = (F.col("digest_before") != F.col("digest")) & fits("size_before", "size")
+    after = (F.col("digest_after") != F.col("digest")) & fits("size", "size_after")
+    met = near.where(F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).select("token", "digest").distinct()
+    met = materialise(spark, met, "ngram-lists")
+    rarity.destroy()
+    sigs = both.where("n_shingles > 0").select("digest", "n_shingles", "sig").dropDuplicates(["digest"])
+    pairs = materialise(spark, _candidates(met, sigs, num, den, list_bytes), "ngram-candidates")
     return rows, _search(slim, rows, pairs, k, num, den, block, max_broadcast)
 
 
+def _candidates(met: DataFrame, sigs: DataFrame, num: int, den: int, list_bytes: int) -> DataFrame:
+    """Pairs (a, b) of classes that meet in a list and whose signatures allow a link, enough of them to connect all that such pairs connect."""
+    one = met.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("y"))
+    # lists of the same members: the number and two hashes of 64 bits of their members agree
+    kept = one.where("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select(F.col("token").alias("kept"))
+    members = materialise(met.sparkSession, met.join(kept, F.col("token") == F.col("kept"), "left_semi").join(sigs, "digest"), "ngram-members-of-lists")
+    weight = members.groupBy("token").agg(F.sum(F.octet_length("sig") + 64).alias("weight")).where(F.col("weight") > list_bytes).select("token", F.ceil(F.col("weight") / list_bytes).cast("int").alias("parts"))
+    heavy, _ = broadcast_if_small(materialise(members.sparkSession, weight, "ngram-heavy-lists"), 100_000)
+    light = members.join(heavy, "token", "left_anti").withColumns({"i": F.lit(0), "j": F.lit(0)})
+    part = F.pmod(F.xxhash64(F.lit(2), "digest"), F.col("parts")).cast("int")
+    cut = members.join(heavy, "token").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.where("parts > 1").withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    columns = ["token", "i", "j", "digest", "n_shingles", "sig"]
+    out = to_arrow_schema(struct_of("a binary, b binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, sizes, held = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            found = alike(np.array(sizes), [np.frombuffer(x, np.uint64) for x in held], num, den)
+            return pa.RecordBatch.from_arrays([pa.array([names[k] for k in side], pa.binary()) for side in (zip(*found, strict=True) if found else ((), ()))], schema=out)
+
+        for batch in (p for b in batches for p in pieces(b)):
+            for *key, name, size, sig in zip(*(batch[c].to_pylist() for c in columns), strict=True):
+                if key != at and names:
+                    yield done()
+                    names, sizes, held = [], [], []
+                at = key
+                names.append(name)
+                sizes.append(size)
+                held.append(sig)
+        if names:
+            yield done()
+
+    dealt = light.select(columns).union(cut.select(columns)).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return forest(dealt.mapInArrow(run, "a binary, b binary"))
+
+
 def _sets_of(docs: DataFrame, who: DataFrame, k: int, max_broadcast: int) -> DataFrame:
     """(digest, label, weight, shingles): each class of `who` with the set of a text of its. The classes' rows go to the texts, not the texts to them, if they are few."""
     few, _ = broadcast_if_small(who.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "digest", "label", "weight"), max_broadcast)
@@ -353,6 +433,27 @@ def _search(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, num: int
     return materialise(spark, found, "ngram-links")
 
 
+class _Union:
+    def __init__(self, n: int):
+        self.up, self.size = list(range(n)), [1] * n
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        if self.size[a] < self.size[b]:
+            a, b = b, a
+        self.up[b] = a
+        self.size[a] += self.size[b]
+        return True
+
+
 def forest(links: DataFrame) -> DataFrame:
     """Fewer links that connect the same: each task keeps a spanning forest of those it reads, some hundred thousand nodes at a time."""
     out = to_arrow_schema(struct_of("a binary, b binary"))
