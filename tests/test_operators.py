@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vaultspark.functions import frontmatter, markdown
 from vaultspark.functions.text import fallback_id, posix_normalize, utf16_length
 from vaultspark.operators import explore, ftsquery, graph, resolve, search
+from vaultspark.sources import index
 from vaultspark.streaming import changes
 
 
@@ -111,7 +112,9 @@ def test_fts_agrees_with_sqlite(spark, query):
     except sqlite3.OperationalError:
         want = dict(con.execute(sql, ['"' + query.replace('"', '""') + '"']).fetchall())
     notes = spark.createDataFrame([(i, p, t, "note", "active", [], [], b) for i, p, t, b in rows], "id string, path string, title string, type string, status string, tags array<string>, aliases array<string>, body string")
-    got = {r["id"]: r["rank"] for r in search.bm25(notes, ftsquery.parse(query)).collect()}
+    indexed = index.texts(notes)
+    figures = tuple(indexed.agg(F.count("*"), F.avg("dl")).first())
+    got = {r["id"]: r["rank"] for r in search.bm25(indexed, ftsquery.parse(query), figures).collect()}
     assert got.keys() == want.keys()
     if not query.startswith(("^", "NEAR")):
         assert got == pytest.approx(want, abs=1e-9)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def backlinks(edges: DataFrame) -> DataFrame:
     """(dst, src, src_path, raw): each source of a note once, with the first of its targets that resolves to it; a note is no source of its own."""
@@ -117,14 +117,6 @@ def bfs(notes: DataFrame, edges: DataFrame, root: str, depth: int = 1, direction
     return nodes, spark.createDataFrame(kept, "src string, dst string, raw string")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as written to the shared folder (spark.checkpoint.dir, or a local one where that is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='vaultspark-')}")
-    return df.checkpoint()
-
-
 def reach(notes: DataFrame, edges: DataFrame, root: str, depth: int = 1, direction: str = "both") -> DataFrame:
     """(id, depth) of every note within `depth` steps of the root, which is one of them: bfs without its caps. Steps, frontier and what is known are written tables."""
     ways = []
@@ -132,11 +124,11 @@ def reach(notes: DataFrame, edges: DataFrame, root: str, depth: int = 1, directi
         ways.append(edges.where("state = 'resolved'").select(F.col("src").alias("near"), F.col("dst").alias("far")))
     if direction in ("back", "both"):
         ways.append(backlinks(edges).select(F.col("dst").alias("near"), F.col("src").alias("far")))
-    steps = _written((ways[0] if len(ways) == 1 else ways[0].union(ways[1])).distinct())
+    steps = written((ways[0] if len(ways) == 1 else ways[0].union(ways[1])).distinct())
     known = frontier = notes.sparkSession.createDataFrame([(root, 0)], "id string, depth int")
     for at in range(1, depth + 1):
         far = steps.join(frontier.select(F.col("id").alias("near")), "near", "left_semi").select(F.col("far").alias("id")).distinct()
-        frontier = _written(far.join(known, "id", "left_anti").select("id", F.lit(at).alias("depth")))
+        frontier = written(far.join(known, "id", "left_anti").select("id", F.lit(at).alias("depth")))
         if frontier.isEmpty():
             break
         known = known.union(frontier)

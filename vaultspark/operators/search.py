@@ -1,7 +1,7 @@
 """Search: BM25 over character trigrams with metadata filters, and the plain substring path for short Han queries.
 
-Two scans of the notes: one partial aggregate for the corpus figures (one row), one that filters, ranks and keeps the best `limit` rows. Only those
-rows reach Python, for their snippets.
+Ranked search reads the stored index: the postings of the query's trigrams name the blocks of notes that may match; one partial aggregate over those counts the notes that
+hold each phrase, and one scan filters, ranks and keeps the best `limit` rows. Only those rows reach Python, for their snippets.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, occurrences
+from ..sources.index import Index
 from . import ftsquery
 
 #: The weights in force by column. They stand one column later than their order in the call suggests, as the id column counts too.
@@ -59,39 +60,31 @@ def metadata_filter(notes: DataFrame, status: str | None = None, type: str | Non
     return out.where(F.array_contains("tags", tag)) if tag is not None else out
 
 
-def fts_text(notes: DataFrame) -> DataFrame:
-    """notes with the five texts of the index, lower-cased, as _title, _path, ...; tags and aliases joined by blanks."""
-    lists = {"tags": F.array_join("tags", " "), "aliases": F.array_join("aliases", " ")}
-    return notes.withColumns({f"_{c}": F.lower(lists.get(c, F.col(c))) for c in ftsquery.COLUMNS})
-
-
 def _low(c: str) -> Column:
     return F.col(f"_{c}")
 
 
-def _trigrams() -> Column:
-    return reduce(lambda a, b: a + b, [F.greatest(F.lit(0), F.length(_low(c)) - 2) for c in ftsquery.COLUMNS])
-
-
-def bm25(notes: DataFrame, tree: ftsquery.Node, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The notes that match, with `rank` (lower is better). notes: all rows of the index; filters come after, as they don't change the figures."""
-    indexed = fts_text(notes)
+def bm25(indexed: DataFrame, tree: ftsquery.Node, figures: tuple[int, float], weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The notes that match, with `rank` (lower is better). indexed: live notes with their texts, all that hold some phrase at least; filters come after, as they don't
+    change the figures. figures: how many notes there are in all, and their average number of trigrams."""
     phrases = [(p, cols) for p, cols in ftsquery.leaves(tree) if len(p.text) >= 3]
     has = [reduce(lambda a, b: a | b, [F.contains(_low(c), F.lit(p.text)) for c in cols]) if cols else F.lit(False) for p, cols in phrases]
-    figures = indexed.agg(F.count("*").alias("n"), F.avg(_trigrams()).alias("avgdl"), *[F.count_if(h).alias(f"n{k}") for k, h in enumerate(has)]).first()
-    n, avgdl = figures["n"], figures["avgdl"] or 1.0
+    held = indexed.agg(F.count("*"), *[F.count_if(h) for h in has]).first()
+    n, avgdl = figures
     rank = F.lit(0.0)
-    for k, (p, cols) in enumerate(phrases):
-        idf = math.log((n - figures[f"n{k}"] + 0.5) / (figures[f"n{k}"] + 0.5))
+    for (p, cols), known in zip(phrases, held[1:], strict=True):
+        idf = math.log((n - known + 0.5) / (known + 0.5))
         f = reduce(lambda a, b: a + b, [F.lit(weights[c]) * occurrences(_low(c), p.text) for c in cols], F.lit(0.0))
-        rank = rank - F.lit(idf if idf > 0 else 1e-6) * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * _trigrams() / F.lit(avgdl)))
+        rank = rank - F.lit(idf if idf > 0 else 1e-6) * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl)))
     return indexed.where(ftsquery.matches(tree, _low)).withColumn("rank", rank).drop(*[f"_{c}" for c in ftsquery.COLUMNS])
 
 
-def search_fts(notes: DataFrame, query: str, limit: int = 10, **filters) -> DataFrame:
-    """The best matches: the index's rows are those of live notes."""
+def search_fts(index: Index, query: str, limit: int = 10, **filters) -> DataFrame:
+    """The best matches among live notes."""
     tree = ftsquery.parse(query)
-    hits = metadata_filter(bm25(notes.where("status <> 'deleted'"), tree), **filters).orderBy("rank", "path").limit(limit)
+    phrases = [p.text for p, _ in ftsquery.leaves(tree) if len(p.text) >= 3]
+    found = bm25(index.holding(phrases).where("status <> 'deleted'"), tree, index.figures())
+    hits = metadata_filter(found, **filters).orderBy("rank", "path").limit(limit)
     needles = [p.text for p, cols in ftsquery.leaves(tree) if len(p.text) >= 3 and "body" in cols]
 
     @F.pandas_udf("string")
@@ -125,11 +118,10 @@ def like_snippet(body: Column, tokens: list[str]) -> Column:
     return out
 
 
-def search(notes: DataFrame, query: str, limit: float | None = 10, **filters) -> DataFrame:
+def search(index: Index, query: str, limit: float | None = 10, **filters) -> DataFrame:
     """The notes' rows with rank and snippet, best first."""
     q, n = normalize_query(query), clamp_limit(limit)
-    path = search_like if has_short_han_run(q) else search_fts
-    return path(notes, q, n, **filters)
+    return search_like(index.notes(), q, n, **filters) if has_short_han_run(q) else search_fts(index, q, n, **filters)
 
 
 _SENTENCE = re.compile(r"[.:]\s+")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import markdown
 from ..functions.text import has_han, normalize_tag, utf16_length
@@ -33,63 +29,27 @@ def vocabulary(notes: DataFrame) -> DataFrame:
     return stored.withColumn("tag", tag).where((F.length("tag") >= 2) & (has_han(F.col("tag")) | (utf16_length(F.col("tag")) >= 3)))
 
 
-def vocabulary_tags(docs: DataFrame, words: DataFrame, max_words: int = 50_000) -> DataFrame:
+def vocabulary_tags(docs: DataFrame, words: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """(key, tags): for each of docs (key, path, title, content) the five longest tags of the vocabulary that occur in it.
 
-    A vocabulary of at most max_words (counted) travels to the texts as one automaton, and each text is read once. A larger one is joined: on a tag's
-    first characters against the text's trigrams, then compared."""
+    One join, whatever the sizes: a tag's first three characters (of a Han tag of two characters, these) against the trigrams of the texts, or Han pairs, then the
+    pairs so found are compared in full. postings: (gram, key) of the docs' trigrams, where an index has them; else they are made here."""
     text = docs.select("key", F.lower(F.concat_ws("\n", "title", "content", "path")).alias("hay"))
-    listed = [(r["stored"], r["tag"]) for r in words.limit(max_words + 1).collect()]
-    return _by_automaton(text, listed) if len(listed) <= max_words else _by_trigrams(text, words)
-
-
-def _units(s: str) -> int:
-    return sum(1 + (ord(c) > 0xFFFF) for c in s)
-
-
-def _by_automaton(text: DataFrame, words: list[tuple[str, str]]) -> DataFrame:
-    order = sorted(words, key=lambda w: (-_units(w[1]), w[0].encode()))
-    by_tag: dict[str, list[int]] = {}
-    for n, (_, tag) in enumerate(order):
-        by_tag.setdefault(tag, []).append(n)
-
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for tag in by_tag:
-            auto.add_word(tag, tag)
-        if by_tag:
-            auto.make_automaton()
-        for f in frames:
-            held = [sorted(n for tag in ({t for _, t in auto.iter(h)} if by_tag else ()) for n in by_tag[tag])[:MAX_VOCABULARY] for h in f["hay"]]
-            keep = [bool(x) for x in held]
-            if any(keep):
-                yield pd.DataFrame({"key": f["key"][keep].tolist(), "tags": [[order[n][1] for n in x] for x in held if x]})
-
-    return text.mapInPandas(find, StructType([text.schema["key"], StructField("tags", ArrayType(StringType()))]))
-
-
-def _by_trigrams(text: DataFrame, words: DataFrame) -> DataFrame:
-    heads = words.select("stored", "tag", F.substr("tag", F.lit(1), F.lit(3)).alias("head"))
-    n = F.length("hay")
-
-    def grams(k: int) -> DataFrame:
-        cut = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr("hay", i, F.lit(k)))
-        return text.where(n >= k).select("key", F.explode(F.array_distinct(cut)).alias("head"))
-
-    maybe = grams(2).union(grams(3)).join(heads, "head").select("key", "stored", "tag")
-    found = maybe.join(text, "key").where(F.contains("hay", F.col("tag")))
+    heads = words.select("stored", "tag", F.substr("tag", F.lit(1), F.lit(3)).alias("gram"))
+    each = postings if postings is not None else text.select("key", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(r"(?s)(?=(...))"), F.lit(1)))).alias("gram"))
+    pairs = text.where(has_han(F.col("hay"))).select("key", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(r"(?s)(?=(\p{IsHan}.|.\p{IsHan}))"), F.lit(1)))).alias("gram"))
+    maybe = each.select("key", "gram").join(heads.where(F.length("tag") > 2), "gram").union(pairs.join(heads.where(F.length("tag") == 2), "gram")).select("key", "stored", "tag")
+    found = maybe.join(text, "key").where(F.contains("hay", F.col("tag"))).select("key", "stored", "tag")
     order = Window.partitionBy("key").orderBy(utf16_length(F.col("tag")).desc(), "stored")
     top = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MAX_VOCABULARY)
     return top.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "tag"))), lambda t: t["tag"]).alias("tags"))
 
 
-def derive_tags(docs: DataFrame, notes: DataFrame) -> DataFrame:
-    """(key, tags) for docs (key, path, title, content): inline tags, the folder's, then the vocabulary's; ten at most."""
+def derive_tags(docs: DataFrame, notes: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """(key, tags) for docs (key, path, title, content): inline tags, the folder's, then the vocabulary's; ten at most. postings: as vocabulary_tags takes them."""
     none = F.array().cast("array<string>")
     own = docs.select("key", F.concat(markdown.inline_tags(F.col("content")), F.filter(F.array(folder_tag(F.col("path"))), lambda t: t.isNotNull())).alias("own"))
-    vocab = vocabulary_tags(docs, vocabulary(notes))
+    vocab = vocabulary_tags(docs, vocabulary(notes), postings)
     return own.join(vocab, "key", "left").select("key", F.slice(F.array_distinct(F.concat("own", F.coalesce("tags", none))), 1, MAX_DERIVED).alias("tags"))
 
 

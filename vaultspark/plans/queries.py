@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown, text
-from ..operators import explore, graph, resolve, search, sync, tags
+from ..operators import explore, graph, search, sync, tags
 from ..streaming import changes
 from . import virtual_vault
 from .virtual_vault import NOTES_SQL
@@ -28,12 +28,15 @@ def query(sql: str | None = None):
     return register
 
 
-_base, _notes = virtual_vault.base_notes, virtual_vault.notes
+_base, _index = virtual_vault.base_notes, virtual_vault.index
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).notes()
 
 
 def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    notes = _notes(spark, d)
-    return notes, resolve.edges(notes)
+    return _notes(spark, d), _index(spark, d).edges()
 
 
 # --- parsing ---
@@ -137,7 +140,7 @@ SELECT id, round({rank}, 9) AS rank FROM m, i WHERE ({match}) AND {where} ORDER
 
 
 def _fts(spark, d, q, **more):
-    return search.search_fts(_notes(spark, d), q, **more).select("id", F.round("rank", 9).alias("rank"))
+    return search.search_fts(_index(spark, d), q, **more).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(_fts_sql(["thing", "tion"], "has0 AND has1"))
@@ -298,13 +301,15 @@ vocab AS (SELECT id, string_agg(tag, ',' ORDER BY n) AS tags FROM found WHERE n
 
 
 def _as_docs(spark, d):
-    return _notes(spark, d), _base(spark, d).select(F.col("id").alias("key"), "path", "title", F.col("body").alias("content"))
+    """The notes, the same as texts to be tagged, by number, and their postings."""
+    notes = _notes(spark, d)
+    return notes, notes.select(F.col("no").alias("key"), "id", "path", "title", F.col("body").alias("content")), _index(spark, d).postings().withColumnRenamed("no", "key")
 
 
 @query(_BASE + _VOCAB + " SELECT id, tags FROM vocab")
 def vocab_tags(spark, d):
-    notes, docs = _as_docs(spark, d)
-    return tags.vocabulary_tags(docs, tags.vocabulary(notes)).select(F.col("key").alias("id"), F.array_join("tags", ",").alias("tags"))
+    notes, docs, postings = _as_docs(spark, d)
+    return tags.vocabulary_tags(docs, tags.vocabulary(notes), postings).join(docs, "key").select("id", F.array_join("tags", ",").alias("tags"))
 
 
 @query(
@@ -314,8 +319,8 @@ def vocab_tags(spark, d):
 SELECT id, array_to_string(list_sort(list_distinct(l)), ',') AS tags FROM every"""
 )
 def derive_tags(spark, d):
-    notes, docs = _as_docs(spark, d)
-    return tags.derive_tags(docs, notes).select(F.col("key").alias("id"), F.array_join(F.array_sort("tags"), ",").alias("tags"))
+    notes, docs, postings = _as_docs(spark, d)
+    return tags.derive_tags(docs, notes, postings).join(docs.select("key", "id"), "key").select("id", F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
 # --- sync and changes ---
@@ -375,7 +380,7 @@ def weak_match(spark, d):
 
 @query()
 def fts_snippet(spark, d):
-    return search.search_fts(_notes(spark, d), "thing OR ciónes OR keit", limit=50).select("id", "snippet")
+    return search.search_fts(_index(spark, d), "thing OR ciónes OR keit", limit=50).select("id", "snippet")
 
 
 @query()
@@ -387,6 +392,6 @@ def slice_body(spark, d):
 @query()
 def explore_notes(spark, d):
     notes = _notes(spark, d).withColumn("headings", markdown.headings(F.col("body")))
-    got = explore.explore(notes, "thing tion", 3)
+    got = explore.explore(notes, _index(spark, d), "thing tion", 3)
     rows = [("answer", a["id"], a["title"], a["body"], a["truncated"]) for a in got["answerNotes"]] + [("pointer", p["id"], p["title"], None, False) for p in got["relatedPointers"]]
     return spark.createDataFrame(rows, "kind string, id string, title string, body string, truncated boolean")

@@ -6,11 +6,15 @@ them is deleted. Used where files are not at hand: the registered queries run ov
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown
 from ..functions.text import sha256
+from ..sources.index import Index
+from ..sources.shared import shared_dir, spread
 
 NOTES_SQL = """
 SELECT 'doc_' || doc_id AS id,
@@ -28,7 +32,7 @@ FROM documents
 
 def base_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, path, title, type, status, alias, body)"""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return spark.sql(NOTES_SQL.replace("FROM documents", "FROM {documents}"), documents=docs)
 
 
@@ -48,3 +52,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "body",
         sha256(F.col("body")).alias("body_hash"),
     )
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the vault, in the shared folder under a name made of the application, the table's files, their sizes and times."""
+    said = [spark.sparkContext.applicationId]
+    for name in sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").inputFiles()):
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        said += [name, str(status.getLen()), str(status.getModificationTime())]
+    return Index(spark, f"{shared_dir(spark).rstrip('/')}/vault-{hashlib.sha256('|'.join(said).encode()).hexdigest()[:16]}", lambda: notes(spark, sf_dir))

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .functions import frontmatter
 from .operators import explore as exploring
-from .operators import graph, resolve, search, sync, tags
+from .operators import graph, search, sync, tags
 from .operators.parse import parse_notes
 from .sources import ignore, scan
+from .sources.index import Index
 from .sources.store import FILES, NOTES, Store
 
 INSTRUCTIONS = (
@@ -134,8 +135,13 @@ class Vault:
     def notes(self) -> DataFrame:
         return self.store.notes()
 
+    def index(self) -> Index:
+        """What is stored beside the snapshot that is read now; a vault never synced has one of its own."""
+        at = self.store.version() or "empty"
+        return Index(self.spark, f"file://{self.store.dir}/{at}/index", self.store.notes)
+
     def edges(self) -> DataFrame:
-        return resolve.edges(self.store.notes())
+        return self.index().edges()
 
     def status(self) -> dict:
         notes = self.store.notes()
@@ -149,7 +155,7 @@ class Vault:
 
     def search(self, query: str, limit: float | None = 10, status: str | None = None, type: str | None = None, tag: str | None = None) -> list[dict]:  # noqa: A002
         notes = self.store.notes()
-        hits = search.search(notes, query, limit, status=status, type=type, tag=tag)
+        hits = search.search(self.index(), query, limit, status=status, type=type, tag=tag)
         rows = [r.asDict(recursive=True) for r in hits.select("id", "title", "path", "type", "status", F.array_sort("tags").alias("tags"), "snippet", "rank", F.col("headings").alias("outline")).collect()]
         ids = [r["id"] for r in rows]
         graphs = {r["id"]: r.asDict(recursive=True) for r in graph.summaries(notes, self.edges()).where(F.col("id").isin(ids)).collect()} if ids else {}
@@ -192,13 +198,13 @@ class Vault:
 
     def explore(self, query: str, max_notes: int | None = None) -> dict:
         """The answer to an open question. If a note in it has changed on disk, it is made once more."""
-        out = exploring.explore(self.store.notes(), query, max_notes, self.served)
+        out = exploring.explore(self.store.notes(), self.index(), query, max_notes, self.served)
         state = {a["id"]: self.ensure_fresh(a["id"]) for a in out["answerNotes"]}
         if any(s["reindexed"] for s in state.values()):
             for a in out["answerNotes"]:
                 if not a["deduped"]:
                     self.served.drop(a["id"])
-            out = exploring.explore(self.store.notes(), query, max_notes, self.served)
+            out = exploring.explore(self.store.notes(), self.index(), query, max_notes, self.served)
             state = {a["id"]: self.ensure_fresh(a["id"]) for a in out["answerNotes"]}
         for a in out["answerNotes"]:
             if state[a["id"]]["stale"]:
