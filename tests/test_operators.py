@@ -172,3 +172,15 @@ def test_debounce():
     assert [changes.is_scoped(n, False) for n in (0, 1, 500, 501)] == [False, True, True, False] and not changes.is_scoped(3, True)
     got = changes.debounce([(0, "a", False), (200, "b", False), (1000, "c", False), (1100, "", True), (1150, "d", False), (1200, "e", False)])
     assert got == [(500, ["a", "b"], False), (3200, ["c", "d", "e"], True)]
+
+
+def test_flushes_agree_with_debounce(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(20_000), rng.choice("abcdef"), rng.random() < 0.1) for k in range(5) for _ in range(60)] + [(None, 5, "x", False)]
+    got = {}
+    for r in changes.flushes(spark.createDataFrame(rows, "vault int, at long, path string, folder boolean"), "vault", "at", "path", "folder").collect():
+        got.setdefault(r["vault"], []).append((r["due_ms"], r["paths"], r["full"]))
+    for k in (*range(5), None):
+        assert sorted(got[k]) == changes.debounce(sorted((at, p, d) for v, at, p, d in rows if v == k))

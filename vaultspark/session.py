@@ -21,6 +21,7 @@ from .operators import graph, search, sync, tags
 from .operators.parse import parse_notes
 from .sources import ignore, scan
 from .sources.index import Index
+from .sources.shared import written
 from .sources.store import FILES, NOTES, Store
 
 INSTRUCTIONS = (
@@ -82,17 +83,18 @@ class Vault:
                 if full.is_file() and scan.is_markdown(names[-1]):
                     listed.append(scan.stat(self.root, names[-1]))
             mine = files.join(self.spark.createDataFrame([(n,) for n in names], "path string"), "path", "left_semi")
-        actions = {r["path"]: r["action"] for r in sync.diff(self.spark.createDataFrame(listed, scan.LISTING), mine).collect()}
+        found = sync.diff(self.spark.createDataFrame(listed, scan.LISTING), mine).where("action <> 'unchanged'")
+        actions = {r["path"]: r["action"] for r in found.collect()}  # what this sync has to do
         removed = sorted(p for p, a in actions.items() if a == "removed")
         changed = sorted(p for p, a in actions.items() if a in ("added", "changed"))
-        known = {r["path"]: r["hash"] for r in mine.where("not deleted").select("path", "hash").collect()} if changed else {}
         n_removed = len(removed) if only is None else len(set(names) - {p for p, _, _ in listed})
         parsed = parse_notes(scan.read_files(self.spark, self.root, changed)) if changed else None
         errors: list[dict] = []
         if parsed is not None:
-            old = self.spark.createDataFrame(list(known.items()), "path string, known string")
+            old = mine.where("not deleted").select("path", F.col("hash").alias("known"))
             new = F.col("known").isNull() | (F.col("known") != F.col("hash"))
-            fresh = _keep(parsed.join(F.broadcast(old), "path", "left").where(new).drop("known"))
+            # written, as later steps must see the same texts, not the files again
+            fresh = written(parsed.join(old, "path", "left").where(new).drop("known"))
             errors += [{"path": r["path"], "error": r["error"]} for r in fresh.where("error is not null").select("path", "error").collect()]
             good = fresh.where("error is null")
             gone = self.spark.createDataFrame([(p,) for p in removed], "path string")
@@ -271,11 +273,6 @@ def _columns(schema: str) -> list[str]:
     return [f.name for f in SparkSession.getActiveSession().createDataFrame([], schema).schema]
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """What was read of the files is held: later steps must see the same texts, not the files again."""
-    return df.cache()
-
-
 def _normalized(given: list[str]) -> list[str]:
     return list(dict.fromkeys(t for t in (g.strip().lstrip("#").lower() for g in given) if t))
 

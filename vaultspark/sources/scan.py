@@ -52,20 +52,30 @@ def listing(root: Path) -> list[tuple[str, int, int]]:
     return out
 
 
+def folders(root: Path) -> list[str]:
+    """Each folder that isn't ignored, without the root."""
+    ignored, out = ignore.checker(root), []
+    for folder, inner, _ in os.walk(root):
+        at = relative(root, folder) if Path(folder) != Path(root) else ""
+        inner[:] = sorted(f for f in inner if not ignored(f"{at}/{f}".lstrip("/")))
+        out += [f"{at}/{f}".lstrip("/") for f in inner]
+    return out
+
+
 def list_vault(spark: SparkSession, root: Path) -> DataFrame:
     return spark.createDataFrame(listing(root), LISTING)
 
 
-def read_files(spark: SparkSession, root: Path, paths: list[str], batch: int = 2_000) -> DataFrame:
+def read_files(spark: SparkSession, root: Path, paths: list[str]) -> DataFrame:
     """(path, raw, size, mtime_ms) of the given notes; bytes that aren't UTF-8 become U+FFFD. A path that Spark's listing hides is read by the driver."""
     seen = [p for p in paths if not any(part[0] in "._" for part in p.split("/"))]
     hidden = [p for p in paths if p not in set(seen)]
     schema = "path string, raw string, size long, mtime_ms long"
     out = spark.createDataFrame([(p, (Path(root) / p).read_bytes().decode("utf-8", "replace"), *stat(root, p)[1:]) for p in hidden], schema)
-    known = spark.createDataFrame([stat(root, p) for p in seen], LISTING) if seen else None
-    for k in range(0, len(seen), batch):
-        some = [f"file://{root}/{p}".replace("%", "%25").replace("[", "\\[").replace("{", "\\{").replace("*", "\\*").replace("?", "\\?") for p in seen[k : k + batch]]
-        files = spark.read.format("binaryFile").load(some)
-        path = F.expr(f"substr(url_decode(replace(regexp_replace(path, '^file:/+', '/'), '+', '%2B')), {len(str(root)) + 2})")
-        out = out.union(files.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw")).join(F.broadcast(known), "path").select("path", "raw", "size", "mtime_ms"))
-    return out
+    if not seen:
+        return out
+    known = spark.createDataFrame([stat(root, p) for p in seen], LISTING)
+    files = spark.read.format("binaryFile").load([f"file://{root}/{p}".replace("%", "%25").replace("[", "\\[").replace("{", "\\{").replace("*", "\\*").replace("?", "\\?") for p in seen])
+    path = F.expr(f"substr(url_decode(replace(regexp_replace(path, '^file:/+', '/'), '+', '%2B')), {len(str(root)) + 2})")
+    texts = files.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"))
+    return out.union(texts.join(known, "path").select("path", "raw", "size", "mtime_ms"))
