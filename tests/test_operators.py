@@ -73,6 +73,20 @@ def test_resolution_rules(spark):
     assert got["a", "n_te"] == ("resolved", 3, ["n"])
 
 
+def test_percent_in_a_target_stands_for_any_run(spark):
+    rows = [(f"n{k}", p, "T", "active", [], []) for k, p in enumerate(["a/alpha beta.md", "a/Alphabet.md", "b/gamma.md", "b/x.y+z.md", "c/al.md", "c/d/ga.md", "q.md"])]
+    targets = ["%beta", "alpha%", "%mm%", "a%a", "x.y%", "%", "g%", "%z", "al%_t", "%pha b_ta", "nothing%", "_%"]
+    notes = vault(spark, [*rows, ("src", "z/src.md", "S", "active", [], targets)])
+    import sqlite3 as db
+
+    con = db.connect(":memory:")
+    con.execute("CREATE TABLE n (id, path)")
+    con.executemany("INSERT INTO n VALUES (?, ?)", [(i, p) for i, p, *_ in rows] + [("src", "z/src.md")])
+    got = {r["raw"]: r["candidates"] for r in resolve.edges(notes).collect()}
+    for t in targets:
+        assert got[t] == sorted(r[0] for r in con.execute("SELECT id FROM n WHERE path LIKE '%/' || ? || '.md'", [t])), t
+
+
 def test_bfs_cut(spark):
     notes = vault(spark, [("hub", "hub.md", "H", "active", [], ["a", "b", "c", "d"]), *[(x, f"{x}.md", x, "active", [], [{"a": "b", "b": "c"}.get(x, "zz")]) for x in "abcd"]])
     edges = resolve.edges(notes).cache()

@@ -35,11 +35,16 @@ def _masked(c: Column, mask: Column) -> Column:
     return F.array_join(F.transform(F.split(mask, ""), lambda m, i: F.when(m == "_", m).otherwise(F.substr(c, i + 1, F.lit(1)))), "")
 
 
+def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, marked for broadcast if it has at most `most` rows (counted); else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _stem_hits(targets: DataFrame, live: DataFrame, wildcards: bool) -> DataFrame:
     """(target, id) by stem. In a target "_" stands for any one character and "%" for any run, as the comparison is by LIKE.
 
     A target with "_" joins by its mask: where its underscores are. Stems are masked by each mask of their length, so this too is a hash join.
-    "%" is matched by pattern, over the few targets that have one."""
+    A target with "%" joins by an anchor, the longest stretch without wildcards that it has, and is then compared in full."""
     stems = _stems(live).withColumn("low", ascii_lower(F.col("stem")))
     whole = targets.join(live.where(F.endswith("path", F.lit(".md"))).select("id", F.substr("path", F.lit(1), F.length("path") - 3).alias("target")), "target").select("target", "id")
     low = targets.withColumn("low", ascii_lower(F.col("target")))
@@ -48,13 +53,29 @@ def _stem_hits(targets: DataFrame, live: DataFrame, wildcards: bool) -> DataFram
     plain = low.where(~F.contains("target", F.lit("_")) & ~F.contains("target", F.lit("%"))).join(stems, "low").select("target", "id")
     one = low.where(F.contains("target", F.lit("_")) & ~F.contains("target", F.lit("%"))).withColumn("mask", F.regexp_replace("low", "[^_]", "."))
     masks = one.select("mask", F.length("mask").alias("n")).distinct()
-    keyed = stems.withColumn("n", F.length("low")).join(masks, "n").select("id", "mask", _masked(F.col("low"), F.col("mask")).alias("low"))
+    keyed = stems.withColumn("n", F.length("low")).join(_small(masks), "n").select("id", "mask", _masked(F.col("low"), F.col("mask")).alias("low"))
     by_mask = one.join(keyed, ["mask", "low"]).select("target", "id")
-    many = low.where(F.contains("target", F.lit("%")))
-    # a pattern may begin in the middle of a folder's name only after a slash, so it is held against every suffix
-    pattern = F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("low", r"([\\^$.|?*+()\[\]{}])", r"\\$1"), "%", ".*"), "_", "."), F.lit("$"))
-    by_pattern = many.withColumn("rx", pattern).join(stems.select(F.col("id"), F.col("low").alias("stem_low")), F.expr("stem_low rlike rx")).select("target", "id")
-    return whole.union(plain).union(by_mask).union(by_pattern).distinct()
+    return whole.union(plain).union(by_mask).union(_by_anchor(low.where(F.contains("target", F.lit("%"))), stems)).distinct()
+
+
+def _by_anchor(patterns: DataFrame, stems: DataFrame) -> DataFrame:
+    """(target, id) of patterns with "%". An anchor of three characters or more is sought by its first trigram among those of the stems; a shorter one at the pattern's end or
+    beginning by as many characters of the stem's; a pattern that has neither is held against all stems, as nearly all of them answer it."""
+    literal = F.filter(F.split("low", "[%_]"), lambda p: p != "")
+    longest = F.element_at(F.array_sort(F.transform(literal, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), 1)["p"]
+    rx = F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("low", r"([\\^$.|?*+()\[\]{}])", r"\\$1"), "%", ".*"), "_", "."), F.lit("$"))
+    tail, head = F.regexp_extract("low", r"[^%_]*\z", 0), F.regexp_extract("low", r"^[^%_]*", 0)
+    cut = patterns.select("target", rx.alias("rx"), F.when(F.size(literal) > 0, longest).otherwise("").alias("part"), head.alias("head"), tail.alias("tail"))
+    kind = F.when(F.length("part") >= 3, "gram").when(F.col("tail") != "", "tail").when(F.col("head") != "", "head").otherwise("any")
+    keyed = cut.withColumn("kind", kind).withColumn("key", F.when(F.col("kind") == "gram", F.substr("part", F.lit(1), F.lit(3))).when(F.col("kind") == "tail", F.col("tail")).when(F.col("kind") == "head", F.col("head")).otherwise(""))
+    text = F.col("low")
+    ends = F.array(*[F.struct(F.lit("tail").alias("kind"), F.when(F.length(text) >= n, F.substr(text, F.length(text) - n + 1, F.lit(n))).alias("key")) for n in (1, 2)], *[F.struct(F.lit("head").alias("kind"), F.when(F.length(text) >= n, F.substr(text, F.lit(1), F.lit(n))).alias("key")) for n in (1, 2)])
+    grams = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))"), F.lit(1))), lambda g: F.struct(F.lit("gram").alias("kind"), g.alias("key")))
+    every = F.array(F.struct(F.lit("any").alias("kind"), F.lit("").alias("key")))
+    # only as many keys of a stem as some pattern asks for
+    asked = _small(keyed.select("kind", "key").distinct())
+    found = stems.select("id", F.col("low").alias("stem_low"), F.explode(F.concat(grams, ends, every)).alias("k")).select("id", "stem_low", "k.kind", "k.key").join(asked, ["kind", "key"])
+    return found.join(_small(keyed), ["kind", "key"]).where(F.expr("stem_low rlike rx")).select("target", "id")
 
 
 def answers(targets: DataFrame, notes: DataFrame, wildcards: bool = True) -> DataFrame:
