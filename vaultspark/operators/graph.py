@@ -102,8 +102,8 @@ def bfs(notes: DataFrame, edges: DataFrame, root: str, depth: int = 1, direction
         if full:
             end = last[-1]["key"]
             mine = mine.where(F.col("key") <= F.struct(F.lit(end["place"]), F.lit(end["way"]), F.lit(end["o"]), F.lit(end["far"])))
-        links = mine.select("near", "far", "raw", "way").collect() if full or len(known) < max_nodes else []
-        for r in links:
+        links = mine.select("near", "far", "raw", "way", "o").collect() if full or len(known) < max_nodes else []
+        for r in sorted(links, key=lambda r: (order[r["near"]], r["way"], r["o"], r["far"])):
             pair = (r["near"], r["far"]) if r["way"] == 0 else (r["far"], r["near"])
             taken.setdefault(pair, r["raw"])
         frontier = []

@@ -267,6 +267,40 @@ def graph_bfs_both(spark, d):
     return _bfs(spark, d, "both")
 
 
+#: A search that meets both of its limits: so many nodes, and so many backlinks of each.
+_CUT_NODES, _CUT_BACK = 12, 2
+_CUT_SQL = f"""{_BASE}{_EDGES}, b AS (SELECT dst, src, raw, src_path FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src_path, raw) AS n FROM back) WHERE n <= {_CUT_BACK}),
+s AS (SELECT src AS near, dst AS far, raw, 0 AS way, raw AS o FROM e WHERE state = 'resolved' UNION ALL SELECT dst, src, raw, 1, src_path FROM b),
+f1 AS (SELECT *, 0 AS place FROM s WHERE near = 'doc_1'),
+n1 AS (SELECT far AS id, place, way, o FROM f1 WHERE far <> 'doc_1' QUALIFY row_number() OVER (PARTITION BY far ORDER BY place, way, o) = 1),
+k1 AS (SELECT *, row_number() OVER (ORDER BY place, way, o, id) AS ord FROM n1 QUALIFY row_number() OVER (ORDER BY place, way, o, id) < {_CUT_NODES}),
+c1 AS (SELECT count(*) AS n FROM k1), e1 AS (SELECT (place, way, o, id) AS last FROM k1 ORDER BY ord DESC LIMIT 1),
+f2 AS (SELECT s.*, k1.ord AS place FROM s JOIN k1 ON s.near = k1.id WHERE (SELECT n FROM c1) < {_CUT_NODES} - 1),
+n2 AS (SELECT far AS id, place, way, o FROM f2 WHERE far <> 'doc_1' AND far NOT IN (SELECT id FROM k1) QUALIFY row_number() OVER (PARTITION BY far ORDER BY place, way, o) = 1),
+k2 AS (SELECT *, (SELECT n FROM c1) + row_number() OVER (ORDER BY place, way, o, id) AS ord FROM n2 QUALIFY row_number() OVER (ORDER BY place, way, o, id) < {_CUT_NODES} - (SELECT n FROM c1)),
+e2 AS (SELECT (place, way, o, id) AS last, count(*) OVER () AS n FROM k2 ORDER BY ord DESC LIMIT 1),
+taken AS (SELECT 1 AS level, near, far, raw, way, place, o FROM f1 WHERE (SELECT n FROM c1) < {_CUT_NODES} - 1 OR (place, way, o, far) <= (SELECT last FROM e1)
+  UNION ALL SELECT 2, near, far, raw, way, place, o FROM f2 WHERE coalesce((SELECT n FROM e2), 0) < {_CUT_NODES} - 1 - (SELECT n FROM c1) OR (place, way, o, far) <= (SELECT last FROM e2))"""
+
+
+def _cut(spark, d):
+    return graph.bfs(*_edges(spark, d), "doc_1", depth=2, max_nodes=_CUT_NODES, back_limit=_CUT_BACK)
+
+
+@query(_CUT_SQL + " SELECT 'doc_1' AS id, 0 AS depth, 0 AS ord UNION ALL SELECT id, 1, CAST(ord AS INTEGER) FROM k1 UNION ALL SELECT id, 2, CAST(ord AS INTEGER) FROM k2")
+def graph_bfs_cut(spark, d):
+    return _cut(spark, d)[0]
+
+
+@query(
+    _CUT_SQL
+    + """ SELECT src, dst, raw FROM (SELECT CASE WHEN way = 0 THEN near ELSE far END AS src, CASE WHEN way = 0 THEN far ELSE near END AS dst, raw, level, place, way, o, far FROM taken)
+QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY level, place, way, o, far) = 1"""
+)
+def graph_bfs_cut_edges(spark, d):
+    return _cut(spark, d)[1]
+
+
 # --- statistics and tags ---
 
 
@@ -365,6 +399,24 @@ def scoped_or_full(spark, d):
     return pending.select("hour", "pending", F.col("pending").between(1, changes.SCOPED_PATHS).alias("scoped"), F.when(F.col("pending") <= changes.QUICK_PATHS, changes.QUICK_MS).otherwise(changes.FULL_MS).alias("window_ms"))
 
 
+_QUICK, _FULL = 1_200_000, 9_000_000  # twenty minutes and two and a half hours: the events lie hours apart
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type AS path, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_type) AS n FROM events),
+r AS (SELECT user_id, n, [path] AS pending, ms + {_QUICK} AS due, CAST(NULL AS BIGINT) AS flushed, CAST(NULL AS VARCHAR[]) AS paths FROM e WHERE n = 1
+  UNION ALL SELECT user_id, n, pending, ms + CASE WHEN len(pending) <= {changes.QUICK_PATHS} THEN {_QUICK} ELSE {_FULL} END, flushed, paths FROM (
+    SELECT e.user_id, e.n, e.ms, CASE WHEN e.ms >= r.due THEN [e.path] ELSE list_distinct(list_append(r.pending, e.path)) END AS pending,
+      CASE WHEN e.ms >= r.due THEN r.due END AS flushed, CASE WHEN e.ms >= r.due THEN r.pending END AS paths FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)),
+f AS (SELECT user_id, flushed AS due_ms, paths FROM r WHERE flushed IS NOT NULL UNION ALL SELECT user_id, due, pending FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1)
+SELECT user_id, due_ms, array_to_string(list_sort(paths), ',') AS paths FROM f"""
+)
+def debounce_flushes(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
+    found = changes.flushes(events, "user_id", "at", "event_type", quick_ms=_QUICK, full_ms=_FULL)
+    return found.select("user_id", "due_ms", F.array_join("paths", ",").alias("paths"))
+
+
 # --- exploration ---
 
 
@@ -383,9 +435,20 @@ def fts_snippet(spark, d):
     return search.search_fts(_index(spark, d), "thing OR ciónes OR keit", limit=50).select("id", "snippet")
 
 
-@query()
+_CAP = 600
+
+
+@query(
+    _BASE
+    + _LINES
+    + f""", places AS (SELECT id, body, coalesce((SELECT max(position) FROM h WHERE h.id = base.id AND position BETWEEN 1 AND {_CAP}), 0) AS at_heading,
+  CASE WHEN strpos(reverse(substr(body, 1, {_CAP})), chr(10)) > 0 THEN {_CAP} + 1 - strpos(reverse(substr(body, 1, {_CAP})), chr(10)) ELSE 0 END AS at_line FROM base),
+cut AS (SELECT id, body, CASE WHEN length(body) <= {_CAP} THEN length(body) WHEN at_heading >= {_CAP} * 0.6 THEN at_heading WHEN at_line >= {_CAP} * 0.6 THEN at_line ELSE {_CAP} END AS n FROM places)
+SELECT id, substr(body, 1, n) AS body, length(body) > {_CAP} AS truncated,
+  CASE WHEN length(body) > {_CAP} THEN coalesce((SELECT string_agg(text, '|' ORDER BY position) FROM (SELECT text, position FROM h WHERE h.id = cut.id AND position >= cut.n ORDER BY position LIMIT 8)), '') ELSE '' END AS omitted FROM cut"""
+)
 def slice_body(spark, d):
-    cut = explore.slices(_base(spark, d).select("id", "body", markdown.headings(F.col("body")).alias("headings")), 600)
+    cut = explore.slices(_base(spark, d).select("id", "body", markdown.headings(F.col("body")).alias("headings")), _CAP)
     return cut.withColumn("omitted", F.array_join("omitted", "|"))
 
 
