@@ -5,9 +5,10 @@
 2. Encode. The chunks' pre-tokens meet in one global shuffle by word, where each distinct word is encoded once; its ids go to all chunks that hold it.
 3. Reassemble. The ids of a chunk's words and the numbers of its texts meet by chunk, and every text is put together by position.
 
-A word has a row for each chunk that holds it, however often it occurs, so that a frequent word's partition grows with the number of chunks, not of occurrences;
-its rows stream through and may spill. No dictionary passes through the driver. The cut is a written table, which fixes the numbers. Decoding joins the ids to the
-token-byte table, whose size the vocabulary fixes.
+What is shuffled is packed: a chunk's words by hash of the word, their ids by chunk. Within a task words are exploded and sorted by Spark, so they may spill. A word has a row
+for each chunk that holds it, however often it occurs: a frequent word's share grows with the number of chunks, not of occurrences. No dictionary passes through the driver. The chunks
+are dealt once, and both their words and their texts are read from that one shuffle; a task that runs again makes the same chunks, as it reads the same rows of a table in
+the same order (docs that are not read from a table are written to one first). Decoding joins the ids to the token-byte table, whose size the vocabulary fixes.
 
 Defined results: a null text is empty: no ids, and empty bytes. Text is never cut short; a word of any length is merged with a heap, and a text longer than a
 chunk is a chunk of its own. Repeated rows are each encoded. An empty table gives an empty result. Columns other than those named are not read.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_columns, materialise, pieces, struct_of
+from .common import map_columns, materialise, pieces, struct_of, tidy
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -81,24 +83,31 @@ class _Numbers(dict):
 
 #: Longer texts are cut match by match, not into one list.
 LONG_TEXT = 1 << 20
-#: Bytes of ids that a task gathers before they go on.
-OUT_BYTES = 4 << 20
-CUT = "chunk long, doc_id long, n long, codes binary, code int, word string"
+#: Words whose ids a task gathers before they go on.
+OUT_WORDS = 1 << 19
+CUT = "chunk long, bucket int, doc_id long, n long, packed binary"
 
 
-def _squeezed(codes: np.ndarray) -> bytes:
-    """Numbers as four planes of bytes, compressed: small numbers, the frequent words, take little."""
-    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+def _pack(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of non-negative numbers, of equal length, as planes of bytes, and a tail, compressed: small numbers take little."""
+    return pa.compress(b"".join([*(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns), tail]), codec="zstd", asbytes=True) + sum(map(len, columns)).to_bytes(8, "little") + len(tail).to_bytes(8, "little")
 
 
-def _spread(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+def _unpack(raw: bytes, *lengths: int) -> tuple[list[np.ndarray], bytes]:
+    """The columns, whose lengths are known, and the tail."""
+    total, tail = int.from_bytes(raw[-16:-8], "little"), int.from_bytes(raw[-8:], "little")
+    data = pa.decompress(raw[:-16], decompressed_size=4 * total + tail, codec="zstd", asbytes=True)
+    out, at = [], 0
+    for n in lengths:
+        planes = np.frombuffer(data, np.uint8, 4 * n, at)
+        out.append(np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64))
+        at += 4 * n
+    return out, data[at : at + tail]
 
 
-def cut(docs: DataFrame, pattern: str, chunk_chars: int, chunk_words: int) -> DataFrame:
-    """A row (chunk, doc_id, n, codes) for each text, and a row (chunk, code, word) for each distinct pre-token of a chunk. A chunk ends with the text that
-    brings it to chunk_chars characters or chunk_words distinct pre-tokens."""
+def cut(docs: DataFrame, pattern: str, chunk_chars: int, chunk_words: int, buckets: int) -> DataFrame:
+    """A row (chunk, doc_id, n, numbers) for each text, and rows (chunk, bucket, n, numbers and words) of the distinct pre-tokens of a chunk. A chunk ends with the text
+    that brings it to chunk_chars characters or chunk_words distinct pre-tokens."""
     out = to_arrow_schema(struct_of(CUT))
 
     def rows(**columns: list) -> pa.RecordBatch:
@@ -110,19 +119,26 @@ def cut(docs: DataFrame, pattern: str, chunk_chars: int, chunk_words: int) -> Da
         numbers, held = _Numbers(), 0
 
         def words() -> Iterator[pa.RecordBatch]:
-            every = list(numbers)
-            for a in range(0, len(every), 10_000):
-                part = every[a : a + 10_000]
-                yield rows(chunk=[chunk] * len(part), code=list(range(a, a + len(part))), word=part)
+            by: dict[int, list[bytes]] = {}
+            for word in numbers:
+                raw = word.encode()
+                by.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
+            made: dict[str, list] = {"chunk": [chunk] * len(by), "bucket": list(by), "n": [], "packed": []}
+            for some in by.values():
+                some.sort()  # side by side like begins with like
+                made["n"].append(len(some))
+                made["packed"].append(_pack(np.array([numbers[w.decode()] for w in some]), np.array(list(map(len, some))), tail=b"".join(some)))
+            if by:
+                yield rows(**made)
 
         for batch in (p for b in batches for p in pieces(b)):
-            made: dict[str, list] = {"chunk": [], "doc_id": batch["doc_id"].to_pylist(), "n": [], "codes": []}
+            made: dict[str, list] = {"chunk": [], "doc_id": batch["doc_id"].to_pylist(), "n": [], "packed": []}
             for text in batch["text"].to_pylist():
                 found = compiled.findall(text) if text and len(text) < LONG_TEXT else (m[0] for m in compiled.finditer(text or ""))
                 codes = np.fromiter(map(numbers.__getitem__, found), np.uint32)
                 made["chunk"].append(chunk)
                 made["n"].append(len(codes))
-                made["codes"].append(_squeezed(codes) if len(codes) else b"")
+                made["packed"].append(_pack(codes))
                 held += len(text or "")
                 if held >= chunk_chars or len(numbers) >= chunk_words:
                     yield from words()
@@ -130,90 +146,95 @@ def cut(docs: DataFrame, pattern: str, chunk_chars: int, chunk_words: int) -> Da
             yield rows(**made)
         yield from words()
 
-    return docs.mapInArrow(run, CUT)
+    return docs.mapInArrow(tidy(run), CUT)
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(chunk, code, ids) of (chunk, code, word): the rows of a word lie side by side, and it is encoded at the first of them. ids: little-endian unsigned 32-bit integers."""
+    """(chunk, n, ids of numbers) of (chunk, bucket, n, numbers and words): in a task the rows of a word lie side by side, and it is encoded at the first of them."""
     held = words.sparkSession.sparkContext.broadcast(ranks)
+    apart_schema, out = to_arrow_schema(struct_of("chunk long, code int, word binary")), to_arrow_schema(struct_of(IDS))
 
-    def start():
-        table, last, ids = held.value, None, b""
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, n, raw in zip(batch["chunk"].to_pylist(), batch["n"].to_pylist(), batch["packed"], strict=True):
+                (codes, sizes), tail = _unpack(raw.as_py(), n, n)
+                word = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(tail)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(codes.astype(np.int32)), word], schema=apart_schema)
 
-        def apply(cols):
-            nonlocal last, ids
-            made = []
-            for word in cols["word"]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, last, ids = held.value, None, np.zeros(0, "<u4")
+        by: dict[int, tuple[list, list]] = {}
+        waiting = 0
+
+        def done() -> pa.RecordBatch:
+            made: tuple[list, list, list] = [], [], []
+            for chunk, (codes, lists) in by.items():
+                made[0].append(chunk)
+                made[1].append(len(codes))
+                made[2].append(_pack(np.array(codes), np.fromiter(map(len, lists), np.int64), np.concatenate(lists)))
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(made, out, strict=True)], schema=out)
+
+        for batch in batches:
+            for chunk, code, word in zip(batch["chunk"].to_pylist(), batch["code"].to_pylist(), batch["word"].to_pylist(), strict=True):
                 if word != last:
-                    last, ids = word, np.array(merge_word(word.encode(), table), "<u4").tobytes()
-                made.append(ids)
-            return {"chunk": cols["chunk"], "code": cols["code"], "ids": made}
-
-        return apply
-
-    return map_columns(words.select("chunk", "code", "word").repartition("word").sortWithinPartitions("word"), "chunk long, code int, ids binary", start)
-
-
+                    last, ids = word, np.array(merge_word(word, table), "<u4")
+                codes, lists = by.get(chunk) or by.setdefault(chunk, ([], []))
+                codes.append(code)
+                lists.append(ids)
+            waiting += batch.num_rows
+            if waiting >= OUT_WORDS:
+                yield done()
+                by, waiting = {}, 0
+        if by:
+            yield done()
+
+    each = words.repartition("bucket").mapInArrow(tidy(apart), "chunk long, code int, word binary")
+    return each.sortWithinPartitions("word").mapInArrow(tidy(run), IDS)
+
+
+IDS = "chunk long, n long, packed binary"
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars: int = 24 << 20, chunk_words: int = 250_000, decoded: bool = False) -> DataFrame:
-    """One row per document: its ids, as little-endian unsigned 32-bit integers, and their number; with `decoded` also what decode gives of them, in the same pass."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars: int = 32 << 20, chunk_words: int = 1 << 20, buckets: int | None = None, decoded: bool = False) -> DataFrame:
+    """One row per document: its ids, as little-endian unsigned 32-bit integers, and their number; with `decoded` also what decode gives of them, in the same pass.
+    Words are dealt to so many buckets; by default to eight for each shuffle partition, 256 at least."""
     spark = docs.sparkSession
+    buckets = buckets or max(256, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialise(spark, cut(slim, pattern, chunk_chars, chunk_words), "bpe-cut")
-    words = encode_words(table.where("word is not null"), ranks).select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), F.col("ids").alias("codes"), "code")
-    texts = table.where("word is null").select("chunk", "doc_id", "n", "codes", "code")
+    plan = slim._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "FileScan" not in plan:
+        slim = materialise(spark, slim, "bpe-texts")
+    dealt = cut(slim, pattern, chunk_chars, chunk_words, buckets).repartition("chunk")
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # in Python, as a condition would be moved below the shuffle, and there would be two
+        for batch in batches:
+            yield batch.filter(batch["bucket"].is_valid())
+
+    ids = encode_words(dealt.mapInArrow(tidy(of_words), CUT), ranks)
     schema = SCHEMA + ", decoded binary" if decoded else SCHEMA
     out = to_arrow_schema(struct_of(schema))
     known = spark.sparkContext.broadcast(token_bytes(ranks)) if decoded else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, parts, begin, length, flat, held = None, [], None, None, None, 0
-
-        def rows(made: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
-
-        def gathered() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Where the ids of each number begin in one array of all, how many they are, and that array."""
-            code = np.concatenate([c for c, _, _ in parts]) if parts else np.zeros(0, np.int64)
-            n = np.concatenate([k for _, k, _ in parts]) if parts else np.zeros(0, np.int64)
-            at = np.cumsum(n) - n
-            starts, lengths = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-            starts[code], lengths[code] = at, n
-            return starts, lengths, np.concatenate([f for _, _, f in parts]) if parts else np.zeros(0, "<u4")
-
-        for batch in (p for b in batches for p in pieces(b)):
-            chunks, is_text = batch["chunk"].to_numpy(), ~np.asarray(batch["code"].is_valid())
-            cuts = np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_text[1:] != is_text[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(chunks)], strict=True):
-                if chunks[a] != chunk:
-                    chunk, parts, begin = chunks[a], [], None
-                part = batch.slice(a, b - a)
-                if not is_text[a]:
-                    ids = part["codes"].to_pylist()
-                    parts.append((part["code"].to_numpy().astype(np.int64), np.fromiter(map(len, ids), np.int64) // 4, np.frombuffer(b"".join(ids), "<u4")))
-                    continue
-                if begin is None:
-                    begin, length, flat = gathered()
-                    parts = []
-                made: list[tuple] = []
-                for doc_id, n, raw in zip(*(part[c].to_pylist() for c in ("doc_id", "n", "codes")), strict=True):
-                    codes = _spread(raw, n) if n else np.zeros(0, np.int64)
-                    many = length[codes]
-                    ends = np.cumsum(many)
-                    ids = flat[np.repeat(begin[codes] - ends + many, many) + np.arange(ends[-1] if n else 0)].tobytes()
-                    made.append((doc_id, len(ids) // 4, ids, *(_decoded([ids], known.value) if decoded else ())))
-                    held += len(ids)
-                    if held > OUT_BYTES:
-                        yield rows(made)
-                        made, held = [], 0
-                if made:
-                    yield rows(made)
-                    held = 0
-
-    # of a chunk the words come first, then its texts
-    return words.union(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("code").isNull()).mapInArrow(run, schema)
+    def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        parts = []
+        for n, raw in zip(words["n"].to_pylist(), words["packed"].to_pylist(), strict=True):
+            parts.append(_unpack(raw, n, n, int.from_bytes(raw[-16:-8], "little") - 2 * n)[0])
+        code, n, flat = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+        begin, length = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        begin[code], length[code] = np.cumsum(n) - n, n  # where the ids of each number begin in one array of all, and how many they are
+        flat = flat.astype("<u4")
+        texts, made = texts.filter(texts["bucket"].is_null()), []
+        for doc_id, n, raw in zip(texts["doc_id"].to_pylist(), texts["n"].to_pylist(), texts["packed"], strict=True):
+            codes = _unpack(raw.as_py(), n)[0][0]
+            many = length[codes]
+            ends = np.cumsum(many)
+            row = flat[np.repeat(begin[codes] - ends + many, many) + np.arange(ends[-1] if n else 0)].tobytes()
+            made.append((doc_id, len(row) // 4, row, *(_decoded([row], known.value) if decoded else ())))
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True) if made else [()] * len(out), out, strict=True)], schema=out)
+
+    return dealt.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(reassemble, schema)
 
 
 def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
