@@ -1,4 +1,4 @@
-"""Command line: init, sync, status, search, get, watch. Results are JSON on standard output."""
+"""Command line: init, sync, status, search, get, watch, mcp. Results are JSON on standard output."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def positive(text: str) -> int:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vaultspark")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("init", "sync", "status", "search", "get", "watch"):
+    for name in ("init", "sync", "status", "search", "get", "watch", "mcp"):
         c = sub.add_parser(name)
         c.add_argument("-v", "--vault")
         if name == "search":
@@ -57,6 +57,11 @@ def main(argv: list[str] | None = None) -> int:
 
         watch(spark, vault, str(vault.store.dir / "watch")).awaitTermination()
         return 0
+    if args.command == "mcp":
+        from .serve import serve
+
+        serve(spark, vault)
+        return 0
     print(said(run(args, vault)))
     return 0
 
