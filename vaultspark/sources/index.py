@@ -40,9 +40,12 @@ class Index:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _table(self, name: str, build: Callable[[], DataFrame], *by: str) -> DataFrame:
+    def _table(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         if not self._there(name):
-            build().write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{name}")
+            df = build()
+            # without rows there are no folders, so the schema lies in a file of its own
+            writer = df.write if by is None or df.isEmpty() else df.write.partitionBy(by)
+            writer.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def notes(self) -> DataFrame:
