@@ -5,10 +5,11 @@
 2. Encode. The chunks' pre-tokens meet in one global shuffle by word, where each distinct word is encoded once; its ids go to all chunks that hold it.
 3. Reassemble. The ids of a chunk's words and the numbers of its texts meet by chunk, and every text is put together by position.
 
-What is shuffled is packed: a chunk's words by hash of the word, their ids by chunk. Within a task words are exploded and sorted by Spark, so they may spill. A word has a row
-for each chunk that holds it, however often it occurs: a frequent word's share grows with the number of chunks, not of occurrences. No dictionary passes through the driver. The chunks
-are dealt once, and both their words and their texts are read from that one shuffle; a task that runs again makes the same chunks, as it reads the same rows of a table in
-the same order (docs that are not read from a table are written to one first). Decoding joins the ids to the token-byte table, whose size the vocabulary fixes.
+What is shuffled is packed: a chunk's words by hash of the word, in buckets, and their ids by chunk. A task holds the words of one bucket at a time; there are eight buckets for each
+shuffle partition, so they stay small however large the vocabulary. A word has a row for each chunk that holds it, however often it occurs: a frequent word's share grows with the
+number of chunks, not of occurrences. No dictionary passes through the driver. The chunks are dealt once, and both their words and their texts are read from that one shuffle; a
+task that runs again makes the same chunks, as it reads the same rows of a table in the same order (docs that are not read from a table are written to one first). Decoding joins the
+ids to the token-byte table, whose size the vocabulary fixes.
 
 Defined results: a null text is empty: no ids, and empty bytes. Text is never cut short; a word of any length is merged with a heap, and a text longer than a
 chunk is a chunk of its own. Repeated rows are each encoded. An empty table gives an empty result. Columns other than those named are not read.
@@ -83,8 +84,8 @@ class _Numbers(dict):
 
 #: Longer texts are cut match by match, not into one list.
 LONG_TEXT = 1 << 20
-#: Words whose ids a task gathers before they go on.
-OUT_WORDS = 1 << 19
+#: Bytes of ids in a batch of the result.
+OUT_BYTES = 2 << 20
 CUT = "chunk long, bucket int, doc_id long, n long, packed binary"
 
 
@@ -150,46 +151,33 @@ def cut(docs: DataFrame, pattern: str, chunk_chars: int, chunk_words: int, bucke
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(chunk, n, ids of numbers) of (chunk, bucket, n, numbers and words): in a task the rows of a word lie side by side, and it is encoded at the first of them."""
+    """(chunk, n, numbers, how many ids each has, and the ids) of (chunk, bucket, n, numbers and words): all rows of a word lie in one bucket, whose words are held while it is
+    worked on, so that each is encoded once."""
     held = words.sparkSession.sparkContext.broadcast(ranks)
-    apart_schema, out = to_arrow_schema(struct_of("chunk long, code int, word binary")), to_arrow_schema(struct_of(IDS))
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, n, raw in zip(batch["chunk"].to_pylist(), batch["n"].to_pylist(), batch["packed"], strict=True):
-                (codes, sizes), tail = _unpack(raw.as_py(), n, n)
-                word = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(tail)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(codes.astype(np.int32)), word], schema=apart_schema)
+    out = to_arrow_schema(struct_of(IDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, last, ids = held.value, None, np.zeros(0, "<u4")
-        by: dict[int, tuple[list, list]] = {}
-        waiting = 0
-
-        def done() -> pa.RecordBatch:
+        table, at = held.value, None
+        known: dict[bytes, np.ndarray] = {}
+        for batch in batches:
             made: tuple[list, list, list] = [], [], []
-            for chunk, (codes, lists) in by.items():
+            for chunk, bucket, n, raw in zip(*(batch[c].to_pylist() for c in ("chunk", "bucket", "n")), batch["packed"], strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
+                (codes, sizes), tail = _unpack(raw.as_py(), n, n)
+                ends, lists = np.cumsum(sizes).tolist(), []
+                for a, b in zip([0, *ends], ends, strict=False):
+                    word = tail[a:b]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(merge_word(word, table), "<u4")
+                    lists.append(ids)
                 made[0].append(chunk)
-                made[1].append(len(codes))
-                made[2].append(_pack(np.array(codes), np.fromiter(map(len, lists), np.int64), np.concatenate(lists)))
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(made, out, strict=True)], schema=out)
+                made[1].append(n)
+                made[2].append(_pack(codes, np.fromiter(map(len, lists), np.int64, n), np.concatenate(lists)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(made, out, strict=True)], schema=out)
 
-        for batch in batches:
-            for chunk, code, word in zip(batch["chunk"].to_pylist(), batch["code"].to_pylist(), batch["word"].to_pylist(), strict=True):
-                if word != last:
-                    last, ids = word, np.array(merge_word(word, table), "<u4")
-                codes, lists = by.get(chunk) or by.setdefault(chunk, ([], []))
-                codes.append(code)
-                lists.append(ids)
-            waiting += batch.num_rows
-            if waiting >= OUT_WORDS:
-                yield done()
-                by, waiting = {}, 0
-        if by:
-            yield done()
-
-    each = words.repartition("bucket").mapInArrow(tidy(apart), "chunk long, code int, word binary")
-    return each.sortWithinPartitions("word").mapInArrow(tidy(run), IDS)
+    return words.select("chunk", "bucket", "n", "packed").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), IDS)
 
 
 IDS = "chunk long, n long, packed binary"
@@ -225,14 +213,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
         begin, length = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
         begin[code], length[code] = np.cumsum(n) - n, n  # where the ids of each number begin in one array of all, and how many they are
         flat = flat.astype("<u4")
-        texts, made = texts.filter(texts["bucket"].is_null()), []
+        texts, made, done, waiting = texts.filter(texts["bucket"].is_null()), [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True) if made else [()] * len(out), out, strict=True)], schema=out)
+
         for doc_id, n, raw in zip(texts["doc_id"].to_pylist(), texts["n"].to_pylist(), texts["packed"], strict=True):
             codes = _unpack(raw.as_py(), n)[0][0]
             many = length[codes]
             ends = np.cumsum(many)
             row = flat[np.repeat(begin[codes] - ends + many, many) + np.arange(ends[-1] if n else 0)].tobytes()
             made.append((doc_id, len(row) // 4, row, *(_decoded([row], known.value) if decoded else ())))
-        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True) if made else [()] * len(out), out, strict=True)], schema=out)
+            waiting += len(row)
+            if waiting > OUT_BYTES:
+                done.append(batch())
+                made, waiting = [], 0
+        return pa.Table.from_batches([*done, batch()], schema=out)
 
     return dealt.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(reassemble, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,13 +16,16 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of this machine's, if driver and executors are one process; else an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: with master {master}, executors need a folder that they share")
     own = tempfile.mkdtemp(prefix="vaultspark-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -44,6 +49,23 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Written tables of an operator, which are deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = scratch(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """The tables of these names; without any, all."""
+        for name in names or list(self.paths):
+            drop_scratch(self.spark, self.paths.pop(name).rpartition("/")[0])
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """df marked for broadcast if it has at most max_rows rows (counted, stopping beyond the bound); else df as it is, for a shuffled join."""
     if df.limit(max_rows + 1).count() <= max_rows:
@@ -51,6 +73,41 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return df, False
 
 
+#: Rows of an Arrow batch where the session has Spark's own default: a batch of whole texts is built up in the memory of the JVM and of Python.
+BATCH_ROWS = 1_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings of the session that bound an executor's memory, where they are as Spark sets them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def _libc_call(name: str, *args: int) -> None:
+    """A function of the C library, where it has it."""
+    call = getattr(ctypes.CDLL(None), name, None)
+    if call:
+        call(*args)
+
+
+#: Numbers of mallopt's parameters: how much free memory stays at the top of the heap, and from which size on an allocation is one of its own.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with freed memory going back to the system: large pieces at once, all else at its end, so that a worker that waits for its next task holds little."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        _libc_call("mallopt", _MMAP_THRESHOLD, 1 << 20)
+        _libc_call("mallopt", _TRIM_THRESHOLD, 1 << 22)
+        yield from run(batches)
+        _libc_call("malloc_trim", 0)
+
+    return wrapped
+
+
 def struct_of(schema: str) -> StructType:
     return _parse_datatype_string(schema)
 
@@ -77,7 +134,7 @@ def map_columns(df: DataFrame, schema: str, start: Callable[[], Callable[[dict[s
                 made = apply(piece.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def change_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
@@ -92,7 +149,7 @@ def change_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa
                 if made.num_rows:
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made.columns, schema, strict=True)], schema=schema)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

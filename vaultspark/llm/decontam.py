@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import Workspace, broadcast_if_small, materialise
 
 SPAN = 10
 BLOCK = 64
@@ -72,17 +72,17 @@ def _run(step: int, span: int) -> Column:
     return F.when(first == 0, F.lit(span - 1)).otherwise(first - 1).cast("int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, max_broadcast: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def matches(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, max_broadcast: int = 500_000, work: Workspace | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, hits, items): documents (doc_id, h, n_words), one row per input row; hits (doc_id, h, uid, first, after, exact): stretches of words that agree with item text uid, or with exact false
     a proximity match; items (uid, item_id)."""
-    spark = docs.sparkSession
-    blocks = materialise(spark, forward(docs, span), "decontam-forward")
+    work = work or Workspace(docs.sparkSession)
+    blocks = work.table(forward(docs, span), "decontam-forward")
     said = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
-    texts = materialise(spark, said.select("words").distinct().withColumn("uid", F.monotonically_increasing_id()), "decontam-items")
+    texts = work.table(said.select("words").distinct().withColumn("uid", F.monotonically_increasing_id()), "decontam-items")
     items = said.join(texts, "words").select("uid", "item_id").where("item_id is not null").distinct()
     terms, _ = broadcast_if_small(texts.select(F.explode("words").alias("term")).distinct(), max_broadcast)
-    freq = materialise(spark, _core(blocks).select("term").join(terms, "term").groupBy("term").agg(F.count("*").alias("tf")), "decontam-frequencies")
-    lookups = materialise(spark, _lookups(texts, freq, span), "decontam-lookups")
+    freq = work.table(_core(blocks).select("term").join(terms, "term").groupBy("term").agg(F.count("*").alias("tf")), "decontam-frequencies")
+    lookups = work.table(_lookups(texts, freq, span), "decontam-lookups")
     wanted, _ = broadcast_if_small(lookups.select("term").union(lookups.select("term2")).distinct(), max_broadcast)
     near_from = F.greatest(F.lit(0), F.col("pos") - F.col("base") - (span - 1))
     index = (
@@ -90,7 +90,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, max_broadca
         .join(wanted, "term")
         .select("term", "doc_id", "h", "pos", F.slice("words", near_from + 1, F.col("pos") - F.col("base") - near_from + span).alias("near"), (F.col("pos") - F.col("base") - near_from).cast("int").alias("at"))
     )
-    index = materialise(spark, index, "decontam-postings")
+    index = work.table(index, "decontam-postings")
     small, _ = broadcast_if_small(lookups, max_broadcast)
     first = index.join(small, "term").where(F.array_contains("near", F.col("term2"))).withColumn("pos2", F.col("pos") - F.col("p") + F.col("q"))
     second = index.select(F.col("term").alias("t2"), F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("pos").alias("p2"))
@@ -98,13 +98,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, max_broadca
     agreed = both.withColumn("before", _run(-1, span)).withColumn("beyond", _run(1, span)).where(F.col("before") + F.col("beyond") + 1 >= F.least(F.lit(span), F.size("words")))
     exact = agreed.select("doc_id", "h", "uid", (F.col("pos") - F.col("before")).alias("first"), (F.col("pos") + F.col("beyond") + 1).alias("after"), F.lit(True).alias("exact"))
     near = first.select("doc_id", "h", "uid", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("after"), F.lit(False).alias("exact"))
-    hits = materialise(spark, exact.union(near).distinct(), "decontam-hits")
+    hits = work.table(exact.union(near).distinct(), "decontam-hits")
+    work.drop("decontam-postings", "decontam-frequencies", "decontam-lookups")
     return blocks.where("core = 0").select("doc_id", "h", "n_words"), hits, items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, max_broadcast: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, max_broadcast: int = 500_000, work: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, h (its text's hash), n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
-    every, hits, items = matches(docs, benchmark, span, max_broadcast)
+    every, hits, items = matches(docs, benchmark, span, max_broadcast, work)
     exact = hits.where("exact")
     # a document's stretches in order; each adds what lies beyond the furthest end before it
     by_doc = Window.partitionBy("doc_id", "h").orderBy("first", "after")
@@ -133,5 +134,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, max_b
 
 def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """The rows of docs, all columns as they are, that hold no window of the benchmark."""
-    bad = decontaminate(docs, benchmark, span).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    work = Workspace(docs.sparkSession)
+    found = decontaminate(docs, benchmark, span, work=work).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    bad = materialise(docs.sparkSession, found.distinct(), "decontam-contaminated")
+    work.drop()
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_h")), "left_anti")

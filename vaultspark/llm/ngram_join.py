@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import broadcast_if_small, map_columns, materialise, pieces, struct_of
+from .common import Workspace, broadcast_if_small, map_columns, materialise, pieces, struct_of, tidy
 from .components import components
 
 SLOT_BITS = 22
@@ -289,7 +289,7 @@ def _first_pass(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             if piece.any():
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([None], pa.binary())] * 2 + [pa.array([p], pa.int32()), pa.array([piece.tobytes()], pa.binary())], schema=out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _rarity(pieces: DataFrame) -> np.ndarray:
@@ -307,7 +307,7 @@ def _rarity(pieces: DataFrame) -> np.ndarray:
     total = np.zeros(1 << SLOT_BITS, np.uint32)
     width = 1 << _PIECE_BITS
     # first within each task, then by piece: no task holds more than one counter a slot
-    summed = pieces.mapInArrow(add, "piece int, counts binary").repartition("piece").mapInArrow(add, "piece int, counts binary")
+    summed = pieces.mapInArrow(tidy(add), "piece int, counts binary").repartition("piece").mapInArrow(tidy(add), "piece int, counts binary")
     for row in summed.toLocalIterator():
         total[row["piece"] * width : (row["piece"] + 1) * width] += np.frombuffer(row["counts"], np.uint32)
     # a shingle of one text has what chance gives its slot, so among equals the emptier slot is the surer; steps of a quarter of chance's spread
@@ -319,11 +319,12 @@ def _rarity(pieces: DataFrame) -> np.ndarray:
     return out
 
 
-def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int = 1_500_000, list_bytes: int = 8 << 20, max_broadcast: int = 300_000, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int = 1_500_000, list_bytes: int = 8 << 20, max_broadcast: int = 300_000, row_col: str | None = None, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (doc_id, h, row, n_shingles, digest) of each document, row being its row_col if one is named; links (a, b) between classes, enough of them to connect all that links connect."""
     spark = docs.sparkSession
+    work = work or Workspace(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
-    both = materialise(spark, _first_pass(slim, k, num, den), "ngram-sets")
+    both = work.table(_first_pass(slim, k, num, den), "ngram-sets")
     rows = both.where("piece is null").select("doc_id", "h", "row", "n_shingles", "digest")
     rarity = spark.sparkContext.broadcast(_rarity(both.where("piece is not null").select("piece", "counts")))
 
@@ -346,7 +347,7 @@ def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int =
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(owners, pa.binary()), pa.array(np.concatenate(sizes))], names=["token", "digest", "size"])
 
-    lists = slim.mapInArrow(short_lists, "token long, digest binary, size int")
+    lists = slim.mapInArrow(tidy(short_lists), "token long, digest binary, size int")
     order = Window.partitionBy("token").orderBy("size", "digest")
     near = lists.withColumns({f"{c}_{side}": f(c).over(order) for side, f in (("before", F.lag), ("after", F.lead)) for c in ("digest", "size")})
     # what has nothing of a fitting size beside it has none in its list; copies of a class from several tasks lie side by side
@@ -354,21 +355,24 @@ def classes_and_links(docs: DataFrame, k: int, num: int, den: int, block: int =
     before = (F.col("digest_before") != F.col("digest")) & fits("size_before", "size")
     after = (F.col("digest_after") != F.col("digest")) & fits("size", "size_after")
     met = near.where(F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).select("token", "digest").distinct()
-    met = materialise(spark, met, "ngram-lists")
+    met = work.table(met, "ngram-lists")
     rarity.destroy()
     sigs = both.where("n_shingles > 0").select("digest", "n_shingles", "sig").dropDuplicates(["digest"])
-    pairs = materialise(spark, _candidates(met, sigs, num, den, list_bytes), "ngram-candidates")
-    return rows, _search(slim, rows, pairs, k, num, den, block, max_broadcast)
+    pairs = work.table(_candidates(met, sigs, num, den, list_bytes, work), "ngram-candidates")
+    work.drop("ngram-lists", "ngram-members-of-lists", "ngram-heavy-lists")
+    links = _search(slim, rows, pairs, k, num, den, block, max_broadcast, work)
+    work.drop(*work.paths.keys() - {"ngram-sets", "ngram-links"})
+    return rows, links
 
 
-def _candidates(met: DataFrame, sigs: DataFrame, num: int, den: int, list_bytes: int) -> DataFrame:
+def _candidates(met: DataFrame, sigs: DataFrame, num: int, den: int, list_bytes: int, work: Workspace) -> DataFrame:
     """Pairs (a, b) of classes that meet in a list and whose signatures allow a link, enough of them to connect all that such pairs connect."""
     one = met.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("y"))
     # lists of the same members: the number and two hashes of 64 bits of their members agree
     kept = one.where("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select(F.col("token").alias("kept"))
-    members = materialise(met.sparkSession, met.join(kept, F.col("token") == F.col("kept"), "left_semi").join(sigs, "digest"), "ngram-members-of-lists")
+    members = work.table(met.join(kept, F.col("token") == F.col("kept"), "left_semi").join(sigs, "digest"), "ngram-members-of-lists")
     weight = members.groupBy("token").agg(F.sum(F.octet_length("sig") + 64).alias("weight")).where(F.col("weight") > list_bytes).select("token", F.ceil(F.col("weight") / list_bytes).cast("int").alias("parts"))
-    heavy, _ = broadcast_if_small(materialise(members.sparkSession, weight, "ngram-heavy-lists"), 100_000)
+    heavy, _ = broadcast_if_small(work.table(weight, "ngram-heavy-lists"), 100_000)
     light = members.join(heavy, "token", "left_anti").withColumns({"i": F.lit(0), "j": F.lit(0)})
     part = F.pmod(F.xxhash64(F.lit(2), "digest"), F.col("parts")).cast("int")
     cut = members.join(heavy, "token").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -396,7 +400,7 @@ def _candidates(met: DataFrame, sigs: DataFrame, num: int, den: int, list_bytes:
             yield done()
 
     dealt = light.select(columns).union(cut.select(columns)).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return forest(dealt.mapInArrow(run, "a binary, b binary"))
+    return forest(dealt.mapInArrow(tidy(run), "a binary, b binary"))
 
 
 def _sets_of(docs: DataFrame, who: DataFrame, k: int, max_broadcast: int) -> DataFrame:
@@ -414,23 +418,22 @@ def _sets_of(docs: DataFrame, who: DataFrame, k: int, max_broadcast: int) -> Dat
     return map_columns(docs.join(few, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "digest", "label", "weight"), "digest binary, label binary, weight long, shingles array<bigint>", start)
 
 
-def _search(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, num: int, den: int, block: int, max_broadcast: int) -> DataFrame:
-    spark = docs.sparkSession
+def _search(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, num: int, den: int, block: int, max_broadcast: int, work: Workspace) -> DataFrame:
     first = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.max("n_shingles").alias("n"))
-    who = materialise(spark, components(pairs).join(first, F.col("node") == F.col("digest")).select("one.doc_id", "one.h", "digest", "label", "n"), "ngram-members")
+    who = work.table(components(pairs).join(first, F.col("node") == F.col("digest")).select("one.doc_id", "one.h", "digest", "label", "n"), "ngram-members")
     who = who.join(who.groupBy("label").agg(F.sum("n").alias("weight")), "label")
     # what is too heavy for a block is cut by size: only sets of one band or of two neighbouring ones can link
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int")
     heavy = who.where(F.col("weight") > block).withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).drop("weight")
     groups = heavy.groupBy("label", "band").agg(F.min("digest").alias("least"), F.sum("n").alias("weight"), F.max(F.col("own") == F.col("band")).alias("any_own"), F.count("*").alias("members")).where("any_own and members > 1")
     heavy = heavy.join(groups, ["label", "band"]).select("doc_id", "h", "digest", F.concat("least", F.col("label"), F.col("band").cast("string").cast("binary")).alias("label"), "n", "weight")
-    heavy = materialise(spark, heavy, "ngram-heavy")
+    heavy = work.table(heavy, "ngram-heavy")
     ready = who.where(F.col("weight") <= block).select("doc_id", "h", "digest", "label", "weight").union(heavy.where(F.col("weight") <= block).select("doc_id", "h", "digest", "label", "weight"))
     found = _run_blocks(_sets_of(docs, ready, k, max_broadcast).select(F.col("label").alias("key"), F.lit(0).alias("role"), "digest", "shingles"), num, den)
     large = heavy.where(F.col("weight") > block)
     if large.limit(1).count():
-        found = found.union(_large(_sets_of(docs, large, k, max_broadcast), num, den, block))
-    return materialise(spark, found, "ngram-links")
+        found = found.union(_large(_sets_of(docs, large, k, max_broadcast), num, den, block, work))
+    return work.table(found, "ngram-links")
 
 
 class _Union:
@@ -478,12 +481,11 @@ def forest(links: DataFrame) -> DataFrame:
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*kept, strict=True)], schema=out)
 
-    return links.mapInArrow(run, "a binary, b binary")
+    return links.mapInArrow(tidy(run), "a binary, b binary")
 
 
-def _large(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def _large(members: DataFrame, num: int, den: int, block: int, work: Workspace) -> DataFrame:
     """Components of more than one block: the least class against all, then those that don't link with it against every block."""
-    spark = members.sparkSession
     pivots = members.where("digest = substring(label, 1, 16)").dropDuplicates(["label"]).select("label", F.col("shingles").alias("pivot"))
     pivots, _ = broadcast_if_small(pivots, 1000)
 
@@ -494,7 +496,7 @@ def _large(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
         return apply
 
     schema = "digest binary, label binary, weight long, shingles array<bigint>, core boolean"
-    judged = materialise(spark, map_columns(members.join(pivots, "label").select("digest", "label", "weight", "shingles", "pivot"), schema, start), "ngram-judged")
+    judged = work.table(map_columns(members.join(pivots, "label").select("digest", "label", "weight", "shingles", "pivot"), schema, start), "ngram-judged")
     star = judged.where("core and digest <> substring(label, 1, 16)").select(F.expr("substring(label, 1, 16)").alias("a"), F.col("digest").alias("b"))
     rest = judged.where("not core").groupBy("label").agg(F.sum(F.size("shingles")).alias("rest"))
     n_all, n_rest = F.ceil(F.col("weight") / block).cast("int"), F.ceil(F.col("rest") / block).cast("int")
@@ -534,7 +536,7 @@ def _run_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
         if names:
             yield done()
 
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _labels(rows: DataFrame, links: DataFrame, least: Column) -> DataFrame:
@@ -559,7 +561,10 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **more)
     while number.lower() in map(str.lower, docs.columns):
         number += "_"
     numbered = materialise(docs.sparkSession, docs.withColumn(number, F.monotonically_increasing_id()), "ngram-numbered")
-    rows, links = classes_and_links(numbered, k, num, den, row_col=number, **more)
+    work = Workspace(docs.sparkSession)
+    rows, links = classes_and_links(numbered, k, num, den, row_col=number, work=work, **more)
     named = _labels(rows, links, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row"))
     stay = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.row").alias(number)).union(rows.where("n_shingles = 0").select("row"))
+    stay = materialise(docs.sparkSession, stay, "ngram-stay")
+    work.drop()
     return numbered.join(stay, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

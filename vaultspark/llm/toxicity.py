@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import change_rows, map_columns, materialise
+from .common import Workspace, change_rows, map_columns
 
 GRADES = 3
 PREFIXES = (4, 5)
@@ -105,10 +105,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least: int
     def start():
         return lambda cols: {"doc_id": cols["doc_id"], "grade": cols["grade"], "words": [sorted(words_of(t)) for t in cols["text"]]}
 
-    seen = materialise(docs.sparkSession, map_columns(texts, "doc_id long, grade int, words array<string>", start), "toxicity-sample")
+    work = Workspace(docs.sparkSession)
+    seen = work.table(map_columns(texts, "doc_id long, grade int, words array<string>", start), "toxicity-sample")
     toxic = F.col("grade") > 0
     neg, pos = seen.agg(F.count_if(~toxic), F.count_if(toxic)).first()
     if not pos or not neg:
+        work.drop()
         return Model({}, ())
     rate = pos / (pos + neg)
     counts = seen.select(toxic.cast("int").alias("toxic"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= least)
@@ -121,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least: int
 
     # max_train rows of numbers of kept words
     held = map_columns(seen, "doc_id long, grade int, features array<int>", number).toArrow().sort_by("doc_id")
+    work.drop()
     w, theta = fit_ordinal(held["features"].combine_chunks(), held["grade"].to_numpy(), len(kept))
     return Model({word: float(w[k]) for word, k in index.items()}, tuple(map(float, theta)))
 

@@ -8,7 +8,8 @@ other schemes, warcinfo for the version block, revisit for a payload that anothe
 Archives are written and read by Spark alone, so that they can lie in any store: a row is one whole archive of bounded size, written as one
 gzip-compressed file, and read again as one binary row. Of records with equal payloads of at least `least` bytes, that of the smallest
 row id keeps the payload; only digests, ids and lengths are shuffled to find it, summed up in each task first, and what a file's records
-refer to is joined to the file by its name (a bounded number of records per file).
+refer to goes to the file by its name: to where the archives are read if there are few such records (counted), else archives and
+records meet in a shuffle (a bounded number of records per file).
 
 Defined results: a null payload is empty; a null row id never keeps a payload for others with an id (it sorts last); a null url becomes
 "urn:row:<id>"; blanks and control characters in a url are percent-encoded, as a header line is split at blanks. Rows that repeat an id and a payload
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import scratch, struct_of
+from .common import broadcast_if_small, materialise, scratch, struct_of, tidy
 
 #: The header fields of the two published versions of the ARC format.
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -208,11 +209,11 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
             yield done()
 
     rows = pages.selectExpr(f"cast(`{id_col}` as bigint) as row", f"cast(`{url_col}` as string) as url", f"cast(`{payload_col}` as binary) as payload")
-    _write(rows.mapInArrow(run, "archive binary"), path, "\n")
+    _write(rows.mapInArrow(tidy(run), "archive binary"), path, "\n")
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least: int = 100) -> None:
-    """Every ARC archive under arc_path as a WARC archive under warc_path."""
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least: int = 100, max_broadcast: int = 200_000) -> None:
+    """Every ARC archive under arc_path as a WARC archive under warc_path. At most max_broadcast revisits (counted) travel to the archives; of more, the archives are joined to theirs."""
     arcs = _read(spark, arc_path)
     seen_schema = "path string, offset long, row long, digest binary, n long, rid string"
     seen_out = to_arrow_schema(struct_of(seen_schema))
@@ -230,11 +231,14 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), seen_out, strict=True)], schema=seen_out)
 
-    seen = arcs.mapInArrow(scan, seen_schema).where(F.col("n") >= least)
+    seen = arcs.mapInArrow(tidy(scan), seen_schema).where(F.col("n") >= least)
     order = F.struct(F.col("row").isNull().alias("late"), "row", "rid")
     keepers = seen.groupBy("digest").agg(F.min(order).alias("keeper"), F.count("*").alias("k")).where("k > 1").select("digest", "keeper")
     revisits = seen.join(keepers, "digest").where(F.col("rid") != F.col("keeper.rid"))
-    by_file = revisits.groupBy("path").agg(F.collect_list(F.struct("offset", F.col("keeper.rid").alias("rid"), F.col("keeper.row").alias("row"))).alias("refers"))
+    revisits = revisits.select("path", "offset", F.col("keeper.rid").alias("rid"), F.col("keeper.row").alias("row"))
+    few, small = broadcast_if_small(materialise(spark, revisits, "warc-revisits"), max_broadcast)
+    by_file = few.groupBy("path").agg(F.collect_list(F.struct("offset", "rid", "row")).alias("refers"))
+    by_file = F.broadcast(by_file) if small else by_file
     out = to_arrow_schema(struct_of("archive binary"))
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +248,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
                 if made:  # Spark writes an empty file where there are no rows
                     yield pa.RecordBatch.from_arrays([pa.array([made], type=pa.binary())], schema=out)
 
-    _write(arcs.join(by_file, "path", "left").select("path", "content", "refers").mapInArrow(turn, "archive binary"), warc_path, "\r\n\r\n")
+    _write(arcs.join(by_file, "path", "left").select("path", "content", "refers").mapInArrow(tidy(turn), "archive binary"), warc_path, "\r\n\r\n")
 
 
 SCHEMA = "row long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string"
@@ -272,7 +276,7 @@ def read_records(spark: SparkSession, warc_path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return _read(spark, warc_path).mapInArrow(run, SCHEMA)
+    return _read(spark, warc_path).mapInArrow(tidy(run), SCHEMA)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
