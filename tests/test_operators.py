@@ -27,6 +27,16 @@ def test_headings(spark):
     assert one(spark, markdown.headings(F.col("b")), b="# `A` *b*!")[0]["slug"] == "a-b"
 
 
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from vaultspark.sources.shared import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+
+
 def test_many_headings_take_little_time(spark):
     import time
 
