@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vaultspark.llm import ann, bpe, decontam, html_text, ngram_join, pii, sharding, toxicity, url_filter, warc
+from vaultspark.llm import ann, bpe, common, decontam, html_text, ngram_join, pii, sharding, toxicity, url_filter, warc
 from vaultspark.llm.components import components
 
 DOCS = "doc_id long, text string, size int, h string"  # the last two clash with names inside operators
@@ -24,6 +24,38 @@ def low(s):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
 
+class _Elsewhere:
+    """A session on a cluster whose executors share no folder with the driver."""
+
+    class conf:  # noqa: N801
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:  # noqa: N801
+        master = "spark://host:7077"
+
+        class _jsc:  # noqa: N801
+            class sc:  # noqa: N801
+                class getCheckpointDir:  # noqa: N801
+                    isDefined = staticmethod(lambda: False)
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(_Elsewhere)
+
+
+def test_work_tables_go_when_they_are_dropped(spark):
+    import os
+
+    work = common.Workspace(spark)
+    kept, gone = (work.table(spark.range(3), n) for n in ("kept", "gone"))
+    paths = {n: p.removeprefix("file://") for n, p in work.paths.items()}
+    work.drop("gone")
+    assert kept.count() == 3 and os.path.isdir(paths["kept"]) and not os.path.exists(paths["gone"])
+    work.drop()
+    assert not work.paths and not os.path.exists(paths["kept"])
+
+
 # --- 1 ---
 
 
