@@ -84,15 +84,21 @@ def bfs(notes: DataFrame, edges: DataFrame, root: str, depth: int = 1, direction
     order, level = {root: 0}, {root: 0}
     taken: dict[tuple[str, str], str] = {}
     frontier, at = [root], 0
-    ways = []
-    if direction in ("out", "both"):
-        ways.append(edges.where("state = 'resolved'").select(F.col("src").alias("near"), F.col("dst").alias("far"), "raw", F.lit(0).alias("way"), F.col("raw").alias("o")))
-    if direction in ("back", "both"):
-        ways.append(_first(backlinks(edges), "dst", ["src_path", "raw"], back_limit).select(F.col("dst").alias("near"), F.col("src").alias("far"), "raw", F.lit(1).alias("way"), F.col("src_path").alias("o")))
-    steps = ways[0] if len(ways) == 1 else ways[0].union(ways[1])
+
+    def steps(ids: DataFrame) -> DataFrame:
+        """The links that may be taken from the frontier: only its own edges are sorted."""
+        ways, here = [], F.broadcast(ids.select("near"))
+        if direction in ("out", "both"):
+            own = edges.where("state = 'resolved'").join(here, F.col("src") == F.col("near"), "left_semi")
+            ways.append(own.select(F.col("src").alias("near"), F.col("dst").alias("far"), "raw", F.lit(0).alias("way"), F.col("raw").alias("o")))
+        if direction in ("back", "both"):
+            back = _first(backlinks(edges.join(here, F.col("dst") == F.col("near"), "left_semi")), "dst", ["src_path", "raw"], back_limit)
+            ways.append(back.select(F.col("dst").alias("near"), F.col("src").alias("far"), "raw", F.lit(1).alias("way"), F.col("src_path").alias("o")))
+        return ways[0] if len(ways) == 1 else ways[0].union(ways[1])
+
     while frontier and at < depth and len(order) < max_nodes:
         near = spark.createDataFrame([(n, order[n]) for n in frontier], "near string, place int")
-        found = steps.join(F.broadcast(near), "near")
+        found = steps(near).join(F.broadcast(near), "near")
         # first sight of each unknown node, then all links up to the last one that may be taken
         known = list(order)
         fresh = found.where(~F.col("far").isin(known)).groupBy("far").agg(F.min(F.struct("place", "way", "o", "far")).alias("key"))

@@ -175,7 +175,8 @@ class Vault:
         out["frontmatter"] = json.loads(out["frontmatter"] or "{}")
         out["outline"] = out.pop("headings")
         out["tags"], out["links"] = sorted(out["tags"], key=str.encode), sorted(out["links"], key=str.encode)
-        edges = self.edges()
+        # its own edges, and those of others that mean it or may
+        edges = self.edges().where((F.col("src") == note_id) | (F.col("dst") == note_id) | F.array_contains("candidates", note_id))
         mine = notes.where(F.col("id") == note_id)
         titles = notes.select(F.col("id").alias("other"), "title", F.col("path").alias("other_path"))
         parts = graph.context(mine, edges, graph_limit).join(titles, "other", "left").orderBy("kind", "ord").collect()
