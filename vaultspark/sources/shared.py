@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError(f"spark.checkpoint.dir is not set: with master {sc.master}, executors need a folder that they share")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='vaultspark-')}")
+        own = tempfile.mkdtemp(prefix="vaultspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(f"file://{own}")
     return sc.getCheckpointDir()
 
 
