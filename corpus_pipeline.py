@@ -46,7 +46,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    whole = bpe.encode(docs, ranks, P.PATTERN, decoded=True)
+    # small chunks: by now the executors' JVMs have grown, and the shuffle may take more of the disk than that of the query alone
+    whole = bpe.encode(docs, ranks, P.PATTERN, chunk_chars=4_000_000, decoded=True)
     return whole.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
