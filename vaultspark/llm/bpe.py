@@ -86,7 +86,7 @@ class _Numbers(dict):
 LONG_TEXT = 1 << 20
 #: Bytes of ids in a batch of the result.
 OUT_BYTES = 2 << 20
-CUT = "chunk long, bucket int, doc_id long, n long, packed binary"
+CUT = "chunk long, bucket int, n long, doc_ids array<bigint>, sizes array<int>, packed binary"
 
 
 def _pack(*columns: np.ndarray, tail: bytes = b"") -> bytes:
@@ -107,8 +107,8 @@ def _unpack(raw: bytes, *lengths: int) -> tuple[list[np.ndarray], bytes]:
 
 
 def cut(docs: DataFrame, pattern: str, chunk_chars: int, chunk_words: int, buckets: int) -> DataFrame:
-    """A row (chunk, doc_id, n, numbers) for each text, and rows (chunk, bucket, n, numbers and words) of the distinct pre-tokens of a chunk. A chunk ends with the text
-    that brings it to chunk_chars characters or chunk_words distinct pre-tokens."""
+    """Rows (chunk, n, doc_ids, sizes, numbers) of n texts each, sizes being how many numbers a text has, and rows (chunk, bucket, n, numbers and words) of the distinct pre-tokens
+    of a chunk. A chunk ends with the text that brings it to chunk_chars characters or chunk_words distinct pre-tokens."""
     out = to_arrow_schema(struct_of(CUT))
 
     def rows(**columns: list) -> pa.RecordBatch:
@@ -120,31 +120,36 @@ def cut(docs: DataFrame, pattern: str, chunk_chars: int, chunk_words: int, bucke
         numbers, held = _Numbers(), 0
 
         def words() -> Iterator[pa.RecordBatch]:
-            by: dict[int, list[bytes]] = {}
-            for word in numbers:
-                raw = word.encode()
-                by.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
-            made: dict[str, list] = {"chunk": [chunk] * len(by), "bucket": list(by), "n": [], "packed": []}
-            for some in by.values():
-                some.sort()  # side by side like begins with like
+            every = list(numbers)
+            bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in every), np.int32, len(every))
+            order = np.argsort(bucket, kind="stable")
+            made: dict[str, list] = {"chunk": [], "bucket": [], "n": [], "packed": []}
+            for codes in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if every else ():
+                some = sorted((every[c].encode(), c) for c in codes.tolist())  # side by side like begins with like
+                made["chunk"].append(chunk)
+                made["bucket"].append(bucket[codes[0]])
                 made["n"].append(len(some))
-                made["packed"].append(_pack(np.array([numbers[w.decode()] for w in some]), np.array(list(map(len, some))), tail=b"".join(some)))
-            if by:
+                made["packed"].append(_pack(np.array([c for _, c in some]), np.array([len(w) for w, _ in some]), tail=b"".join(w for w, _ in some)))
+            if every:
                 yield rows(**made)
 
+        def texts() -> Iterator[pa.RecordBatch]:
+            if ids:
+                yield rows(chunk=[chunk], n=[len(ids)], doc_ids=[ids], sizes=[list(map(len, found))], packed=[_pack(np.concatenate(found))])
+
         for batch in (p for b in batches for p in pieces(b)):
-            made: dict[str, list] = {"chunk": [], "doc_id": batch["doc_id"].to_pylist(), "n": [], "packed": []}
-            for text in batch["text"].to_pylist():
-                found = compiled.findall(text) if text and len(text) < LONG_TEXT else (m[0] for m in compiled.finditer(text or ""))
-                codes = np.fromiter(map(numbers.__getitem__, found), np.uint32)
-                made["chunk"].append(chunk)
-                made["n"].append(len(codes))
-                made["packed"].append(_pack(codes))
+            ids, found = [], []
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                said = compiled.findall(text) if text and len(text) < LONG_TEXT else (m[0] for m in compiled.finditer(text or ""))
+                found.append(np.fromiter(map(numbers.__getitem__, said), np.uint32))
+                ids.append(doc_id)
                 held += len(text or "")
                 if held >= chunk_chars or len(numbers) >= chunk_words:
+                    yield from texts()
                     yield from words()
-                    chunk, numbers, held = chunk + 1, _Numbers(), 0
-            yield rows(**made)
+                    chunk, numbers, held, ids, found = chunk + 1, _Numbers(), 0, [], []
+            yield from texts()
+        ids = []
         yield from words()
 
     return docs.mapInArrow(tidy(run), CUT)
@@ -184,7 +189,7 @@ IDS = "chunk long, n long, packed binary"
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars: int = 32 << 20, chunk_words: int = 1 << 20, buckets: int | None = None, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars: int = 32_000_000, chunk_words: int = 1 << 19, buckets: int | None = None, decoded: bool = False) -> DataFrame:
     """One row per document: its ids, as little-endian unsigned 32-bit integers, and their number; with `decoded` also what decode gives of them, in the same pass.
     Words are dealt to so many buckets; by default to eight for each shuffle partition, 256 at least."""
     spark = docs.sparkSession
@@ -195,6 +200,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
         slim = materialise(spark, slim, "bpe-texts")
     dealt = cut(slim, pattern, chunk_chars, chunk_words, buckets).repartition("chunk")
 
+
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # in Python, as a condition would be moved below the shuffle, and there would be two
         for batch in batches:
@@ -218,16 +224,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True) if made else [()] * len(out), out, strict=True)], schema=out)
 
-        for doc_id, n, raw in zip(texts["doc_id"].to_pylist(), texts["n"].to_pylist(), texts["packed"], strict=True):
-            codes = _unpack(raw.as_py(), n)[0][0]
-            many = length[codes]
-            ends = np.cumsum(many)
-            row = flat[np.repeat(begin[codes] - ends + many, many) + np.arange(ends[-1] if n else 0)].tobytes()
-            made.append((doc_id, len(row) // 4, row, *(_decoded([row], known.value) if decoded else ())))
-            waiting += len(row)
-            if waiting > OUT_BYTES:
-                done.append(batch())
-                made, waiting = [], 0
+        for ids, sizes, raw in zip(*(texts[c] for c in ("doc_ids", "sizes", "packed")), strict=True):
+            each = sizes.as_py()
+            codes = _unpack(raw.as_py(), sum(each))[0][0]
+            for doc_id, at, n in zip(ids.as_py(), np.cumsum([0, *each]).tolist(), each, strict=False):
+                mine = codes[at : at + n]
+                many = length[mine]
+                ends = np.cumsum(many)
+                row = flat[np.repeat(begin[mine] - ends + many, many) + np.arange(ends[-1] if n else 0)].tobytes()
+                made.append((doc_id, len(row) // 4, row, *(_decoded([row], known.value) if decoded else ())))
+                waiting += len(row)
+                if waiting > OUT_BYTES:
+                    done.append(batch())
+                    made, waiting = [], 0
         return pa.Table.from_batches([*done, batch()], schema=out)
 
     return dealt.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(reassemble, schema)

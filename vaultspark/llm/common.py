@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not re.fullmatch(r"local(\[[^\]]*\])?", master):
         raise RuntimeError(f"spark.checkpoint.dir is not set: with master {master}, executors need a folder that they share")
     own = tempfile.mkdtemp(prefix="vaultspark-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
