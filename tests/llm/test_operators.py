@@ -226,6 +226,18 @@ def test_neighbours_that_tie_go_by_id(spark):
         assert [got[q][n] for n in range(1, 21)] == [i for i in np.lexsort((np.arange(700), -s)).tolist() if i != q][:20]
 
 
+def test_neighbours_shuffle_no_vector_by_leaf(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").cache()
+    df.count()
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    assert ann.search(df).count() == 200 * 20
+    assert shuffled() - before < 3 * v.nbytes
+    df.unpersist()
+
+
 # --- 4 ---
 
 

@@ -58,9 +58,9 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         path = self.paths[name] = scratch(self.spark, name)
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
