@@ -234,3 +234,31 @@ def test_flushes_agree_with_debounce(spark):
         got.setdefault(r["vault"], []).append((r["due_ms"], r["paths"], r["full"]))
     for k in (*range(5), None):
         assert sorted(got[k]) == changes.debounce(sorted((at, p, d) for v, at, p, d in rows if v == k))
+
+
+def test_first_mentions_are_those_of_all_pairs(spark):
+    """An ambiguous target's sources are listed once; the notes it may mean leave out themselves and sources with an earlier sure link."""
+    import random
+
+    rng, rows = random.Random(4), []
+    means = {f"t{k}": sorted(rng.sample(range(30), 20)) for k in range(4)}
+    for src in range(30):
+        for t, ids in means.items():
+            if rng.random() < 0.7:
+                rows.append((f"n{src}", f"p{src:02}", f"m{t}", t, "ambiguous", None, [f"n{i}" for i in ids]))
+        for dst in rng.sample(range(30), 9):
+            rows.append((f"n{src}", f"p{src:02}", f"{rng.choice('az')}{dst}", f"n{dst}", "resolved", f"n{dst}", [f"n{dst}"]))
+    edges = spark.createDataFrame(rows, "src string, src_path string, raw string, target string, state string, dst string, candidates array<string>")
+    notes = spark.createDataFrame([(f"n{i}",) for i in range(30)], "id string")
+    hits = spark.createDataFrame([(t, f"n{i}") for t, ids in means.items() for i in ids], "target string, id string")
+    want = {}
+    for r in graph.ambiguous_mentions(edges).collect():
+        want.setdefault(r["dst"], []).append((1, r["src_path"], r["raw"], r["src"]))
+    for src, _, raw, _, state, _, _ in rows:
+        if state == "ambiguous":
+            want.setdefault(src, []).append((0, "", raw, src))
+    for got in (graph.context(notes, edges.drop("candidates"), 7, hits), graph.context(notes, edges, 7)):
+        found = {}
+        for r in got.where("kind = 'ambiguous'").orderBy("id", "ord").collect():
+            found.setdefault(r["id"], []).append((r["raw"], r["other"]))
+        assert found == {i: [(raw, src) for _, _, raw, src in sorted(x)[:7]] for i, x in want.items()}

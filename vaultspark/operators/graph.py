@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .resolve import small
 
 
 def backlinks(edges: DataFrame) -> DataFrame:
@@ -26,8 +27,28 @@ def _first(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n)
 
 
-def context(notes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
-    """(id, kind, ord, other, raw): the first `limit` of each note's out-links and broken links by target, and backlinks and ambiguous mentions by source path."""
+def first_mentions(edges: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+    """Of ambiguous_mentions as (id, other, raw, src_path) those that may be among the first `limit` of their note by source path. hits: (target, id) of the ambiguous targets.
+
+    A target's sources are listed once, and not for each note that it may mean: of that list a note needs the first `limit`, and as many more as don't count for it."""
+    said = edges.where("state = 'ambiguous'").select("target", "src", "src_path", "raw")
+    sure = backlinks(edges).select(F.col("dst").alias("id"), "src", F.col("raw").alias("sure"))
+    own = said.select("target", F.col("src").alias("id"))
+    known = sure.join(said, "src").where("raw >= sure").select("target", "id")
+    less = written(own.union(known).join(hits, ["target", "id"], "left_semi").groupBy("target", "id").agg(F.count("*").alias("less")))
+    most = less.agg(F.max("less")).first()[0] or 0
+    listed = said.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy("src_path", "raw"))).where(F.col("n") <= limit + most)
+    near = hits.join(less, ["target", "id"], "left").join(small(listed), "target").where(F.col("n") <= limit + F.coalesce("less", F.lit(0)))
+    # only where something doesn't count is that sought
+    some = near.where("less is not null and id <> src").join(sure, ["id", "src"], "left").where("sure is null or raw < sure")
+    return near.where("less is null").select("id", F.col("src").alias("other"), "raw", "src_path").union(some.select("id", F.col("src").alias("other"), "raw", "src_path"))
+
+
+def context(notes: DataFrame, edges: DataFrame, limit: int = 20, hits: DataFrame | None = None) -> DataFrame:
+    """(id, kind, ord, other, raw): the first `limit` of each note's out-links and broken links by target, and backlinks and ambiguous mentions by source path. hits: (target, id)
+    of the ambiguous targets; else they are taken from the candidates of edges."""
+    if hits is None:
+        hits = edges.where("state = 'ambiguous'").groupBy("target").agg(F.first("candidates").alias("ids")).select("target", F.explode("ids").alias("id")).join(notes.select("id"), "id", "left_semi")
     own = edges.withColumnRenamed("src", "id")
     parts = [
         ("out", own.where("state = 'resolved'").select("id", F.col("dst").alias("other"), "raw", F.col("raw").alias("o1"), F.lit("").alias("o2"))),
@@ -36,7 +57,7 @@ def context(notes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
         (
             "ambiguous",
             # a note's own ambiguous links come before what others may mean by it
-            own.where("state = 'ambiguous'").select("id", F.col("id").alias("other"), "raw", F.lit("").alias("o1"), F.col("raw").alias("o2")).union(ambiguous_mentions(edges).select(F.col("dst").alias("id"), F.col("src").alias("other"), "raw", F.concat(F.lit("/"), F.col("src_path")).alias("o1"), F.col("raw").alias("o2"))),
+            own.where("state = 'ambiguous'").select("id", F.col("id").alias("other"), "raw", F.lit("").alias("o1"), F.col("raw").alias("o2")).union(first_mentions(edges, hits, limit).select("id", "other", "raw", F.concat(F.lit("/"), F.col("src_path")).alias("o1"), F.col("raw").alias("o2"))),
         ),
     ]
     out = None

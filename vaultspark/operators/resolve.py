@@ -35,7 +35,7 @@ def _masked(c: Column, mask: Column) -> Column:
     return F.array_join(F.transform(F.split(mask, ""), lambda m, i: F.when(m == "_", m).otherwise(F.substr(c, i + 1, F.lit(1)))), "")
 
 
-def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df, marked for broadcast if it has at most `most` rows (counted); else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -53,7 +53,7 @@ def _stem_hits(targets: DataFrame, live: DataFrame, wildcards: bool) -> DataFram
     plain = low.where(~F.contains("target", F.lit("_")) & ~F.contains("target", F.lit("%"))).join(stems, "low").select("target", "id")
     one = low.where(F.contains("target", F.lit("_")) & ~F.contains("target", F.lit("%"))).withColumn("mask", F.regexp_replace("low", "[^_]", "."))
     masks = one.select("mask", F.length("mask").alias("n")).distinct()
-    keyed = stems.withColumn("n", F.length("low")).join(_small(masks), "n").select("id", "mask", _masked(F.col("low"), F.col("mask")).alias("low"))
+    keyed = stems.withColumn("n", F.length("low")).join(small(masks), "n").select("id", "mask", _masked(F.col("low"), F.col("mask")).alias("low"))
     by_mask = one.join(keyed, ["mask", "low"]).select("target", "id")
     return whole.union(plain).union(by_mask).union(_by_anchor(low.where(F.contains("target", F.lit("%"))), stems)).distinct()
 
@@ -73,9 +73,9 @@ def _by_anchor(patterns: DataFrame, stems: DataFrame) -> DataFrame:
     grams = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))"), F.lit(1))), lambda g: F.struct(F.lit("gram").alias("kind"), g.alias("key")))
     every = F.array(F.struct(F.lit("any").alias("kind"), F.lit("").alias("key")))
     # only as many keys of a stem as some pattern asks for
-    asked = _small(keyed.select("kind", "key").distinct())
+    asked = small(keyed.select("kind", "key").distinct())
     found = stems.select("id", F.col("low").alias("stem_low"), F.explode(F.concat(grams, ends, every)).alias("k")).select("id", "stem_low", "k.kind", "k.key").join(asked, ["kind", "key"])
-    return found.join(_small(keyed), ["kind", "key"]).where(F.expr("stem_low rlike rx")).select("target", "id")
+    return found.join(small(keyed), ["kind", "key"]).where(F.expr("stem_low rlike rx")).select("target", "id")
 
 
 def answers(targets: DataFrame, notes: DataFrame, wildcards: bool = True) -> DataFrame:
@@ -95,11 +95,26 @@ def answers(targets: DataFrame, notes: DataFrame, wildcards: bool = True) -> Dat
     return hits.distinct().withColumn("first", first).where(F.col("rule") == F.col("first")).select("target", "rule", "id")
 
 
+def _links(notes: DataFrame) -> DataFrame:
+    live = notes.where(F.col("status") != "deleted")
+    return live.select(F.col("id").alias("src"), F.col("path").alias("src_path"), F.explode(F.array_distinct("links")).alias("raw")).withColumn("target", normalize_target(F.col("raw"), F.col("src_path")))
+
+
+def links(notes: DataFrame, found: DataFrame) -> DataFrame:
+    """edges without their candidates, which are as many for each link as notes that it may mean; found: what answers() gives for the notes' targets."""
+    one = found.groupBy("target").agg(F.min("rule").alias("rule"), F.count("*").alias("n"), F.min("id").alias("first"))
+    state = F.when(F.col("n").isNull(), "broken").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
+    return _links(notes).join(one, "target", "left").select("src", "src_path", "raw", "target", state.alias("state"), "rule", F.when(F.col("n") == 1, F.col("first")).alias("dst"))
+
+
+def targets(notes: DataFrame) -> DataFrame:
+    return _links(notes).select("target").distinct()
+
+
 def edges(notes: DataFrame, wildcards: bool = True) -> DataFrame:
     """One row per link: src, src_path, raw (as written), target (normalised), state (resolved, ambiguous, broken), rule, dst and candidates (ids in order)."""
-    live = notes.where(F.col("status") != "deleted")
-    links = live.select(F.col("id").alias("src"), F.col("path").alias("src_path"), F.explode(F.array_distinct("links")).alias("raw")).withColumn("target", normalize_target(F.col("raw"), F.col("src_path")))
-    found = answers(links.select("target").distinct(), notes, wildcards).groupBy("target").agg(F.min("rule").alias("rule"), F.array_sort(F.collect_set("id")).alias("candidates"))
+    links = _links(notes)
+    found = answers(targets(notes), notes, wildcards).groupBy("target").agg(F.min("rule").alias("rule"), F.array_sort(F.collect_set("id")).alias("candidates"))
     joined = links.join(found, "target", "left")
     n = F.coalesce(F.size("candidates"), F.lit(0))
     state = F.when(F.col("candidates").isNull(), "broken").when(n > 1, "ambiguous").otherwise("resolved")

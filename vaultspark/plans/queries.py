@@ -229,7 +229,10 @@ def backlinks(spark, d):
 SELECT id, kind, CAST(n AS INTEGER) AS ord, other, raw FROM (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY o1, o2) AS n FROM k) WHERE n <= 20"""
 )
 def graph_context(spark, d):
-    return graph.context(*_edges(spark, d))
+    # without the texts, and without the candidates of each link: those of an alias are a share of all notes
+    index = _index(spark, d)
+    unsure = index.answers().join(index.links().where("state = 'ambiguous'").select("target").distinct(), "target", "left_semi")
+    return graph.context(index.cards(), index.links(), hits=unsure.select("target", "id"))
 
 
 @query(

@@ -77,6 +77,18 @@ class Index:
     def edges(self) -> DataFrame:
         return self._table("edges", lambda: resolve.edges(self.notes()))
 
+    def cards(self) -> DataFrame:
+        """The rows of the source without texts: what links need."""
+        return self._table("cards", lambda: self.source().select("id", "path", "title", "status", "aliases", "links"))
+
+    def answers(self) -> DataFrame:
+        """(target, rule, id): the notes that answer each target."""
+        return self._table("answers", lambda: resolve.answers(resolve.targets(self.cards()), self.cards()))
+
+    def links(self) -> DataFrame:
+        """edges without their candidates: a row of bounded size for each link."""
+        return self._table("links", lambda: resolve.links(self.cards(), self.answers()))
+
     def holding(self, phrases: Iterable[str]) -> DataFrame:
         """The notes of all blocks in which some note has every trigram of one of the phrases (three characters or more)."""
         sets = [sorted({p[k : k + 3] for k in range(len(p) - 2)}) for p in dict.fromkeys(phrases)]
